@@ -121,7 +121,7 @@ def small_frame(spark: SparkSession, schema: T.StructType | str, rows: Sequence[
     from pyspark.sql.pandas.types import to_arrow_schema
 
     struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    arrow = to_arrow_schema(struct, timezone="UTC")
+    arrow = to_arrow_schema(struct)
     arrays = [pa.array([r[i] for r in rows], type=arrow.field(i).type) for i in range(len(struct.fields))]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), struct)
 
