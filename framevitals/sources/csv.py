@@ -90,6 +90,8 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "
         out.write.mode(mode)
         .option("header", True)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("timestampFormat", TIMESTAMP_FORMAT)
         .option("timestampNTZFormat", TIMESTAMP_FORMAT)
         .csv(path)

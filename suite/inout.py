@@ -1 +1,291 @@
-"""stub"""
+"""Reports, files, audit trail, streaming and user extensions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from framevitals.operators import audit
+from framevitals.operators.profile import column_report, summary
+from framevitals.plans.recipe import clean
+from framevitals.plans.registry import list_checks, register_check, register_step, run_checks
+from framevitals.plans.report import as_rows, full_report
+from framevitals.sources import csv, reports
+from framevitals.sources.scratch import fresh_path
+from framevitals.streaming.profile import profile_stream
+from suite.fixtures import (
+    EVENT_TYPES, EVENTS_IP, RANGES, fixture, named, pct, plain, query, stamp, table, union,
+)
+from suite.power import POWER
+from suite.profiling import (
+    COLS, DIRTY, QUALITY, READINESS, REPORT, SCORE, SUGGESTIONS, SUMMARY_SQL, categorical_sql, datetime_sql, dirty,
+    imbalance_sql, numeric_sql, outliers_sql,
+)
+
+# --- full report ------------------------------------------------------------------------
+
+
+def melted(sql: str, section: str, item: str, nums: list[str], txts: list[str]) -> str:
+    return union(
+        [
+            f"select '{section}' as section, {item} as item, '{m}' as metric, round({m}::double, 4) as num, "
+            f"null::varchar as txt from ({sql})"
+            for m in nums
+        ]
+        + [
+            f"select '{section}' as section, {item} as item, '{m}' as metric, null::double as num, "
+            f"cast({m} as varchar) as txt from ({sql})"
+            for m in txts
+        ]
+    )
+
+
+NAME = '"column"'
+ALL = "'dataset'"
+DIRTY_NUMBERS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "sparse_val": "double"}
+SUMMARY_ROWS = melted(SUMMARY_SQL, "summary", ALL, ["rows", "cols", "missing_pct", "duplicates", "duplicates_pct"], ["target"])
+COLUMN_ROWS = melted(REPORT, "column", NAME, ["position", "rows", "missing", "missing_pct", "n_unique"], ["type", "family"])
+LEAKAGE = f"""select 'HIGH' as risk, 'sparse_val' as perfect_predictors, '' as high_correlation, '' as duplicate_columns,
+    3 as numeric_features, null as details from ({DIRTY}) having corr(sparse_val, o_totalprice) >= 0.9999"""
+FULL = union(
+    [
+        SUMMARY_ROWS,
+        COLUMN_ROWS,
+        melted(
+            imbalance_sql(DIRTY, "o_totalprice"), "imbalance", ALL,
+            ["rows", "num_classes", "majority_ratio", "minority_ratio", "missing_ratio"],
+            ["target", "severity", "is_imbalanced", "details"],
+        ),
+        melted(POWER, "predictive_power", "feature", ["position", "score", "mi", "corr", "stability"], ["leakage_risk"]),
+        melted(
+            LEAKAGE, "leakage", ALL, ["numeric_features"],
+            ["risk", "perfect_predictors", "high_correlation", "duplicate_columns", "details"],
+        ),
+        melted(
+            f"""with {QUALITY} select {SCORE} as score, round(m, 4) as missing_ratio, round(d, 4) as duplicate_ratio,
+            round(c, 4) as constant_ratio, rows, cols from q""",
+            "quality", ALL, ["score", "missing_ratio", "duplicate_ratio", "constant_ratio", "rows", "cols"], [],
+        ),
+        melted(
+            READINESS, "ml_readiness", ALL, ["value", "base", "rows", "cols", "missing_ratio"],
+            ["penalty_list", "used_data_quality"],
+        ),
+        melted(SUGGESTIONS, "suggestion", NAME, ["position"], ["rule", "suggestion"]),
+        melted(
+            outliers_sql(DIRTY, list(DIRTY_NUMBERS)), "outliers", NAME,
+            ["q1", "q3", "lower", "upper", "outliers", "ratio"], [],
+        ),
+        melted(
+            numeric_sql(DIRTY, DIRTY_NUMBERS), "stats_numeric", NAME,
+            ["count", "mean", "std", "min", "q25", "q50", "q75", "max"], ["type"],
+        ),
+        melted(
+            categorical_sql(DIRTY, ["o_orderstatus", "o_orderpriority", "const_col"]), "stats_categorical", NAME,
+            ["count", "n_unique", "freq"], ["top"],
+        ),
+        melted(
+            datetime_sql(DIRTY, ["o_orderdate"]), "stats_datetime", NAME, ["count"],
+            ["mean", "min", "q25", "q50", "q75", "max"],
+        ),
+    ]
+)
+
+
+@query("full_report", FULL)
+def _(spark, sf_dir):
+    rows = full_report(dirty(spark, sf_dir), "o_totalprice", row_key=["o_orderkey"])
+    seconds = F.when(F.col("section") == "stats_datetime", F.substring("txt", 1, 19)).otherwise(F.col("txt"))
+    return plain(rows.withColumn("txt", seconds), 4)
+
+
+@query("report_json", f"{SUMMARY_ROWS} union all {COLUMN_ROWS}")
+def _(spark, sf_dir):
+    df, path = dirty(spark, sf_dir), fresh_path(spark, "reports")
+    first = as_rows(summary(df), "summary").unionByName(as_rows(column_report(df), "column", "column"))
+    reports.save_report(first, path, "orders")
+    reports.save_report(as_rows(summary(df, "o_totalprice"), "summary"), path, "orders")  # replaces one section
+    return plain(reports.load_report(spark, path, "orders"), 4)
+
+
+# --- files ------------------------------------------------------------------------------
+
+ROUND = {"o_orderdate": stamp("o_orderdate"), "o_totalprice": "round(o_totalprice, 4)", "sparse_val": "round(sparse_val, 4)"}
+AS_FILE = "select " + ", ".join(f"{ROUND.get(c, c)} as {c}" for c in COLS) + f" from ({DIRTY})"
+
+
+@query("csv_scan", AS_FILE)
+def _(spark, sf_dir):
+    path = fresh_path(spark, "orders-csv")
+    csv.write_csv(dirty(spark, sf_dir), path)
+    return plain(csv.read_csv(spark, path), 4)
+
+
+@query("csv_roundtrip", AS_FILE)
+def _(spark, sf_dir):
+    path, df = fresh_path(spark, "orders-csv"), dirty(spark, sf_dir)
+    csv.write_csv(df, path)
+    return plain(csv.read_csv(spark, path, schema=df.schema), 4)
+
+
+@query("csv_roundtrip_text", "select doc_id, text, lang, source, n_chars from documents")
+def _(spark, sf_dir):
+    path, df = fresh_path(spark, "documents-csv"), table(spark, sf_dir, "documents")
+    csv.write_csv(df, path)
+    return plain(csv.read_csv(spark, path, schema=df.schema, multiline=True))
+
+
+@query(
+    "validate_source",
+    f"""select (select count(*) from ({DIRTY})) as data_lines, (select count(*) from ({DIRTY})) as comma_lines,
+    0 as ragged_lines, true as ok, null::varchar as reason""",
+)
+def _(spark, sf_dir):
+    path = fresh_path(spark, "orders-csv")
+    csv.write_csv(dirty(spark, sf_dir), path)
+    files = csv.validate_source(spark, path)
+    return files.agg(
+        F.sum(F.col("lines") - 1).cast("bigint").alias("data_lines"),
+        F.sum(F.col("comma_lines") - 1).cast("bigint").alias("comma_lines"),
+        F.sum("ragged_lines").cast("bigint").alias("ragged_lines"),
+        F.bool_and("ok").alias("ok"),
+        F.max("reason").alias("reason"),
+    )
+
+
+# --- audit ------------------------------------------------------------------------------
+
+IPS = named(EVENTS_IP)
+PUBLIC = f"select * from ({IPS}) where ip not like '10.%'"
+NUMBER = """(split_part(ip, '.', 1)::bigint * 16777216 + split_part(ip, '.', 2)::bigint * 65536
+    + split_part(ip, '.', 3)::bigint * 256 + split_part(ip, '.', 4)::bigint)"""
+GEO = f"""select e.*, coalesce(r.country, 'Unknown') as country from ({PUBLIC}) e
+    left join ({RANGES}) r on {NUMBER} between r.lo and r.hi"""
+ENTRIES = f"select event_id, {stamp('ts')} as time, cast(user_id as varchar) as user_id, event_type as slug, ip, country from ({GEO})"
+
+
+def ips(spark, sf_dir):
+    return fixture(spark, sf_dir, EVENTS_IP)
+
+
+def log_of(spark, sf_dir):
+    return audit.entries(
+        ips(spark, sf_dir),
+        spark.sql(RANGES),
+        user=F.col("user_id"),
+        role=F.lit("member"),
+        slug=F.col("event_type"),
+        entity=F.col("event_id"),
+        delta=F.create_map(F.lit("type"), F.col("event_type")),
+        timestamp=F.col("ts"),
+    )
+
+
+@query("audit_public_only", f"select event_id, ip from ({PUBLIC})")
+def _(spark, sf_dir):
+    return audit.public_only(ips(spark, sf_dir)).select("event_id", "ip")
+
+
+@query("audit_geo", f"select event_id, ip, country from ({GEO})")
+def _(spark, sf_dir):
+    found = audit.geo_lookup(audit.public_only(ips(spark, sf_dir)), spark.sql(RANGES))
+    return found.select("event_id", "ip", "country")
+
+
+@query("audit_geo_large", f"select event_id, ip, country from ({GEO})")
+def _(spark, sf_dir):
+    events = audit.public_only(ips(spark, sf_dir))
+    return audit.geo_lookup(events, spark.sql(RANGES), small=0).select("event_id", "ip", "country")
+
+
+@query(
+    "audit_entries",
+    f"""select cast(event_id as varchar) as entity, time, user_id, 'member' as role, slug, slug as delta_type, ip, country,
+    '—' as city from ({ENTRIES})""",
+)
+def _(spark, sf_dir):
+    path = fresh_path(spark, "audit")
+    log_of(spark, sf_dir).write.mode("append").parquet(path)
+    return spark.read.parquet(path).select(
+        F.col("action.entity").alias("entity"),
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("time"),
+        "actor.user_id",
+        "actor.role",
+        "action.slug",
+        F.col("action.delta").getItem("type").alias("delta_type"),
+        "environment.ip",
+        "environment.geo.country",
+        "environment.geo.city",
+    )
+
+
+@query(
+    "audit_recent",
+    f"""select cast(event_id as varchar) as entity, {stamp('ts')} as time, event_type as slug from ({GEO})
+    order by ts desc, cast(event_id as varchar) limit 100""",
+)
+def _(spark, sf_dir):
+    newest = audit.recent(log_of(spark, sf_dir), 100, tie=("action.entity",))
+    return newest.select(
+        F.col("action.entity").alias("entity"),
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("time"),
+        "action.slug",
+    )
+
+
+@query(
+    "audit_view",
+    f"""select time, substr(user_id, 1, 8) || '...' as "user", slug as action, cast(event_id as varchar) as entity,
+    '—, ' || country as place, ip from ({ENTRIES})""",
+)
+def _(spark, sf_dir):
+    return plain(audit.view(log_of(spark, sf_dir)))
+
+
+# --- streaming --------------------------------------------------------------------------
+
+
+@query(
+    "stream_profile",
+    union(
+        [
+            f"select '{c}' as \"column\", count(*) as rows, count(*) - count({c}) as missing, "
+            f"{pct(f'(count(*) - count({c}))', 'count(*)')} as missing_pct from events"
+            for c in EVENT_TYPES
+        ]
+    ),
+)
+def _(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")
+    return plain(spark.read.parquet(profile_stream(stream)))
+
+
+# --- user extensions --------------------------------------------------------------------
+
+if "high_values" not in list_checks():
+
+    @register_check("high_values")
+    def _high_values(df, target, profile, context):
+        """An example check: rows over the mean of the target, with the profile's row count."""
+        mean = df.agg(F.avg(target)).first()[0]
+        return df.agg(F.count_if(F.col(target) > F.lit(mean)).alias("high")).withColumn("rows", F.lit(profile.rows))
+
+
+@register_step("upper_case")
+def _upper_case(df, columns=None, **_):
+    """An example step."""
+    return df.withColumns({c: F.upper(c) for c in columns}), {"columns": ",".join(columns)}
+
+
+@query(
+    "custom_check",
+    "select count(*) filter (where value > (select avg(value) from events)) as high, count(*) as rows from events",
+)
+def _(spark, sf_dir):
+    df = table(spark, sf_dir, "events")
+    return plain(run_checks(df, ["high_values"], target="value")["high_values"])
+
+
+@query("custom_step", "select event_id, upper(event_type) as event_type from events")
+def _(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return clean(df, [{"action": "upper_case", "columns": ["event_type"]}]).frame
