@@ -59,53 +59,45 @@ def v4_number(ip: Column) -> Column:
     return F.when(ip.rlike(V4_PATTERN), number)
 
 
-def v6_groups(ip: Column) -> Column:
-    """The eight 16-bit groups of an IPv6 address, NULL when it is not one."""
-
-    def hexes(text: Column) -> Column:
-        return F.transform(F.filter(F.split(text, ":"), lambda g: g != ""), lambda g: F.conv(g, 16, 10).cast("bigint"))
-
-    head = hexes(F.substring_index(ip, "::", 1))
-    tail = hexes(F.when(F.contains(ip, F.lit("::")), F.substring_index(ip, "::", -1)).otherwise(F.lit("")))
-    short = F.contains(ip, F.lit("::"))
-    used = F.size(head) + F.size(tail)
-    zeros = F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(8) - used, F.lit(0)))
-    fits = (short & (used <= 7)) | (~short & (used == 8))
-    return F.when(ip.rlike(V6_PATTERN) & fits, F.concat(head, zeros, tail))
-
-
-def _in_v4(number: Column, networks) -> Column:
-    hit = F.lit(False)
-    for text in networks:
-        net = ipaddress.ip_network(text)
-        hit = hit | number.between(int(net.network_address), int(net.broadcast_address))
-    return hit
-
-
-def _in_v6(groups: Column, networks) -> Column:
-    hit = F.lit(False)
-    for text in networks:
-        net = ipaddress.ip_network(text)
-        bits, base = net.prefixlen, int(net.network_address)
-        same = F.lit(True)
-        for g in range(8):
-            want = (base >> (112 - 16 * g)) & 0xFFFF
-            size = min(16, max(0, bits - 16 * g))
-            if size:
-                mask = (0xFFFF << (16 - size)) & 0xFFFF
-                same = same & (F.get(groups, F.lit(g)).bitwiseAND(F.lit(mask)) == want)
-        hit = hit | same
-    return hit
+def hex_form(ip: Column) -> Column:
+    """8 hex digits of an IPv4 or 32 of an IPv6 address; NULL when it is neither."""
+
+    def digits(text: Column, base: int, width: int) -> Column:
+        parts = F.filter(F.split(text, r"\." if base == 10 else ":"), lambda g: g != "")
+        return F.transform(parts, lambda g: F.lpad(F.lower(F.conv(g, base, 16)), width, "0"))
+
+    head = digits(F.substring_index(ip, "::", 1), 16, 4)
+    tail = digits(F.when(F.contains(ip, F.lit("::")), F.substring_index(ip, "::", -1)).otherwise(F.lit("")), 16, 4)
+    front, back = F.array_join(head, ""), F.array_join(tail, "")
+    joined = F.concat(F.rpad(front, F.lit(32) - F.length(back), "0"), back)
+    given = F.length(front) + F.length(back)
+    fits = F.when(F.contains(ip, F.lit("::")), given <= 28).otherwise(given == 32)
+    return F.when(ip.rlike(V4_PATTERN), F.array_join(digits(ip, 10, 2), "")).when(
+        ip.rlike(V6_PATTERN) & fits, joined
+    )
+
+
+def _prefix_pattern(network: str) -> str:
+    """A pattern for the hex form of all addresses of a network."""
+    net = ipaddress.ip_network(network)
+    size = net.max_prefixlen // 4
+    text = f"{int(net.network_address):0{size}x}"
+    whole, rest = divmod(net.prefixlen, 4)
+    pattern = text[:whole]
+    if rest:
+        first = int(text[whole], 16)
+        pattern += "[" + "".join(f"{d:x}" for d in range(first, first + (1 << (4 - rest)))) + "]"
+        whole += 1
+    return pattern + (f"[0-9a-f]{{{size - whole}}}" if whole < size else "")
+
+
+def _any_of(networks) -> str:
+    return "(" + "|".join(_prefix_pattern(n) for n in networks) + ")$"
+
+
+LOCAL_HEX = f"^(?!{_any_of(PUBLIC_V4_EXCEPTIONS + PUBLIC_V6_EXCEPTIONS)}){_any_of(PRIVATE_V4 + PRIVATE_V6)}"
 
 
 def is_local(ip: Column) -> Column:
     """True for private, loopback, missing and malformed addresses: traffic not worth logging."""
-    number, groups = v4_number(ip), v6_groups(ip)
-    v4 = _in_v4(number, PRIVATE_V4) & ~_in_v4(number, PUBLIC_V4_EXCEPTIONS)
-    v6 = _in_v6(groups, PRIVATE_V6) & ~_in_v6(groups, PUBLIC_V6_EXCEPTIONS)
-    return (
-        F.when(ip.isNull() | (ip == "") | (ip == "localhost"), True)
-        .when(number.isNotNull(), v4)
-        .when(groups.isNotNull(), v6)
-        .otherwise(True)
-    )
+    return F.coalesce(hex_form(ip).rlike(LOCAL_HEX), F.lit(True))
