@@ -61,16 +61,32 @@ def format_check(
 
 
 def schema_check(df: DataFrame, expected: T.StructType | str) -> DataFrame:
-    """column, expected, actual, status ('ok', 'missing', 'extra', 'type') against an expected schema."""
+    """column, expected, actual, status ('ok', 'missing', 'extra', 'type'), present, misfits.
+
+    ``misfits`` are values of a wrongly typed column that cannot become the expected type.
+    """
     wanted = expected if isinstance(expected, T.StructType) else T.StructType.fromDDL(expected)
     want = {f.name: f.dataType.simpleString() for f in wanted.fields}
     have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    rows = []
-    for c in [*want, *[c for c in have if c not in want]]:
+    names = [*want, *[c for c in have if c not in want]]
+    data = C.nan_to_null(df)
+    aggs = []
+    for i, c in enumerate(names):
+        if c not in have:
+            aggs += [F.first(F.lit(None).cast("bigint")).alias(f"p{i}"), F.first(F.lit(None).cast("bigint")).alias(f"m{i}")]
+            continue
+        v = C.ref(c)
+        lost = v.try_cast(want[c]).isNull() if want.get(c, have[c]) != have[c] else F.lit(False)
+        aggs += [F.count(v).alias(f"p{i}"), F.count_if(v.isNotNull() & lost).alias(f"m{i}")]
+    cells = []
+    for i, c in enumerate(names):
         a, b = want.get(c), have.get(c)
         status = "missing" if b is None else "extra" if a is None else "ok" if a == b else "type"
-        rows.append((c, a, b, status))
-    return C.small_frame(df.sparkSession, "column string, expected string, actual string, status string", rows)
+        texts = [F.lit(x).cast("string") for x in (c, a, b, status)]
+        cells += [*texts, F.col(f"p{i}"), F.col(f"m{i}")]
+    return data.agg(*aggs).select(
+        F.stack(F.lit(len(names)), *cells).alias("column", "expected", "actual", "status", "present", "misfits")
+    )
 
 
 def type_consistency(

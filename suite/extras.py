@@ -244,14 +244,17 @@ def _(spark, sf_dir):
 
 @query(
     "schema_check",
-    """select t.c as "column", t.expected, t.actual, t.status from (values ('o_orderkey', 'bigint', 'bigint', 'ok'),
-    ('o_totalprice', 'decimal(12,2)', 'double', 'type'), ('o_comment', 'string', null, 'missing'),
-    ('o_custkey', null, 'bigint', 'extra'), ('o_orderstatus', null, 'string', 'extra'),
-    ('o_orderdate', null, 'timestamp_ntz', 'extra'), ('o_orderpriority', null, 'string', 'extra')) t(c, expected, actual, status)""",
+    f"""with src as ({NUMBERS}) select t.c as "column", t.expected, t.actual, t.status,
+    case t.c when 'event_id' then (select count(event_id) from src) when 'int_text' then (select count(int_text) from src)
+        when 'date_text' then (select count(date_text) from src) when 'bool_text' then (select count(bool_text) from src)
+        when 'whole_text' then (select count(whole_text) from src) end as present,
+    case t.c when 'int_text' then (select count(int_text) - count(try_cast(int_text as bigint)) from src)
+        when 'date_text' then (select count(date_text) - count(try_cast(date_text as date)) from src)
+        when 'note' then null else 0 end as misfits
+    from (values ('event_id', 'bigint', 'bigint', 'ok'), ('int_text', 'bigint', 'string', 'type'),
+    ('date_text', 'date', 'string', 'type'), ('note', 'string', null, 'missing'), ('whole_text', null, 'string', 'extra'),
+    ('bool_text', null, 'string', 'extra')) t(c, expected, actual, status)""",
 )
 def _(spark, sf_dir):
-    return validation.schema_check(
-        table(spark, sf_dir, "orders"), "o_orderkey bigint, o_totalprice decimal(12,2), o_comment string"
-    )
-
-
+    df = fixture(spark, sf_dir, TEXT_NUMBERS)
+    return plain(validation.schema_check(df, "event_id bigint, int_text bigint, date_text date, note string"))
