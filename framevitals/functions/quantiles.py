@@ -16,14 +16,17 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framevitals.functions import columns as C
 
-BUCKETS = 16_384
+BUCKETS = 4_096
+STRIDE = BUCKETS + 2
 MAX_INSIDE = 2_000_000
 MAX_LEVELS = 8
+DRIVER_VALUES = 4_000_000
 BATCH = 48
 
 
@@ -94,27 +97,27 @@ def _search(values, zones, probs, counts, found, level) -> list[_Zone]:
     if not open_zones:
         return []
 
-    bucketed = values.select(*[z.bucket.alias(f"b{i}") for i, z in enumerate(open_zones)])
-    cells = [c for i in range(len(open_zones)) for c in (F.lit(i), F.col(f"b{i}"))]
-    hit = _ranks_in(
-        bucketed.select(F.stack(F.lit(len(open_zones)), *cells).alias("zone", "bucket"))
-        .where("bucket is not null")
-        .groupBy("zone", "bucket")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "zone",
-        "bucket",
-        [{r - z.base for r in z.ranks} for z in open_zones],
-    ).collect()  # at most one row per wanted rank
+    # at most BUCKETS + 2 counts per zone reach the driver, whatever the data
+    keys = F.array(*[F.lit(i * STRIDE) + z.bucket for i, z in enumerate(open_zones)])
+    counted = values.select(F.explode(keys).alias("key")).where("key is not null").groupBy("key").count().toArrow()
+    key, n = counted["key"].to_numpy(), counted["count"].to_numpy()
+    order = np.argsort(key)
+    key, n = key[order], n[order]
 
     deeper, ready = [], {}
-    for h in hit:
-        z, below = open_zones[h["zone"]], h["upto"] - h["n"]
-        inside = {r for r in z.ranks if below <= r - z.base < h["upto"]}
-        if h["n"] > MAX_INSIDE and level < MAX_LEVELS:
-            value = F.when(z.bucket == h["bucket"], z.value)
-            deeper.append(_Zone(z.column, value, z.base + below, inside))
-        else:
-            ready[(h["zone"], h["bucket"])] = (z.base + below, inside)
+    for i, z in enumerate(open_zones):
+        mine = slice(*np.searchsorted(key, [i * STRIDE, (i + 1) * STRIDE]))
+        upto = np.cumsum(n[mine])
+        wanted: dict[int, set[int]] = {}
+        for r in z.ranks:
+            wanted.setdefault(int(np.searchsorted(upto, r - z.base, side="right")), set()).add(r)
+        for spot, ranks in wanted.items():
+            bucket, size = int(key[mine][spot]) - i * STRIDE, int(n[mine][spot])
+            below = z.base + int(upto[spot]) - size
+            if size > MAX_INSIDE and level < MAX_LEVELS:
+                deeper.append(_Zone(z.column, F.when(z.bucket == bucket, z.value), below, ranks))
+            else:
+                ready[i * STRIDE + bucket] = (below, ranks, size)
     if ready:
         _read(values, open_zones, ready, found)
     return deeper
@@ -136,40 +139,44 @@ def _bucket(value: Column, low: float, high: float, logarithmic: bool) -> Column
     return F.when(value.isNotNull(), F.coalesce(inner, F.lit(0)).cast("int"))
 
 
-def _ranks_in(grouped: DataFrame, key: str, order: str, ranks: list[set[int]]) -> DataFrame:
-    """Groups (in order, with counts ``n``) that contain one of the wanted relative ranks.
-
-    ``key`` numbers the entries of ``ranks``.
-    """
-    window = Window.partitionBy(key).orderBy(order)
-    listed = ", ".join("array(" + ", ".join(f"{r}L" for r in sorted(rs)) + ")" for rs in ranks)
-    return grouped.withColumn("upto", F.sum("n").over(window)).where(
-        F.expr(f"exists(array({listed})[{key}], r -> r < upto and r >= upto - n)")
-    )
-
-
 def _read(values, zones, ready, found) -> None:
     """Group only the values of the final buckets and read the wanted ranks."""
-    stride = BUCKETS + 2
-    keys = sorted({zone * stride + bucket for zone, bucket in ready})
-    pairs = [(i * stride + z.bucket).alias(f"key{i}") for i, z in enumerate(zones)]
-    keyed = values.select(*pairs, *[z.value.alias(f"val{i}") for i, z in enumerate(zones)])
+    keyed = values.select(
+        *[(F.lit(i * STRIDE) + z.bucket).alias(f"key{i}") for i, z in enumerate(zones)],
+        *[z.value.alias(f"val{i}") for i, z in enumerate(zones)],
+    )
+    keys = sorted(ready)
     cells = [F.col(f"{c}{i}") for i in range(len(zones)) for c in ("key", "val")]
     grouped = (
         keyed.select(F.stack(F.lit(len(zones)), *cells).alias("key", "v"))
         .where(F.col("key").isin(keys))
         .groupBy("key", "v")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("spot", F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("key")).cast("int") - 1)
     )
-    ranks = []
-    for k in keys:
-        base, wanted = ready[(k // stride, k % stride)]
-        ranks.append({r - base for r in wanted})
-    rows = _ranks_in(grouped, "spot", "v", ranks).collect()  # at most one row per wanted rank
-    for row in rows:
-        zone = zones[row["key"] // stride]
-        base, wanted = ready[(row["key"] // stride, row["key"] % stride)]
-        for r in wanted:
-            if row["upto"] - row["n"] <= r - base < row["upto"]:
-                found[(zone.column, r)] = row["v"]
+    if sum(size for _, _, size in ready.values()) > DRIVER_VALUES:
+        grouped = _around(grouped, {k: {r - below for r in ranks} for k, (below, ranks, _) in ready.items()})
+    else:
+        grouped = grouped.withColumn("upto", F.lit(None).cast("bigint"))
+    table = grouped.toArrow()  # a counted number of values, or one per wanted rank
+    key, v = table["key"].to_numpy(), table["v"].to_numpy()
+    order = np.lexsort((v, key))
+    key, v, n = key[order], v[order], table["n"].to_numpy()[order]
+    known = table["upto"].null_count == 0
+    upto = table["upto"].to_numpy()[order] if known else None
+    for k, (below, ranks, _) in ready.items():
+        mine = slice(*np.searchsorted(key, [k, k + 1]))
+        ends = upto[mine] if known else np.cumsum(n[mine])
+        for r in ranks:
+            spot = int(np.searchsorted(ends, r - below, side="right"))
+            found[(zones[k // STRIDE].column, r)] = float(v[mine][spot])
+
+
+def _around(grouped: DataFrame, wanted: dict[int, set[int]]) -> DataFrame:
+    """Rank crowded buckets on the executors; keep the values that hold a wanted rank."""
+    keys = sorted(wanted)
+    listed = ", ".join("array(" + ", ".join(f"{r}L" for r in sorted(wanted[k])) + ")" for k in keys)
+    spot = f"array_position(array({', '.join(str(k) for k in keys)}), key) - 1"
+    upto = F.sum("n").over(Window.partitionBy("key").orderBy("v"))
+    return grouped.withColumn("upto", upto).where(
+        F.expr(f"exists(array({listed})[cast({spot} as int)], r -> r < upto and r >= upto - n)")
+    )

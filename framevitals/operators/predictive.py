@@ -217,16 +217,18 @@ def predictive_power(
     bins: int = BINS,
     chunk_size: int | None = CHUNK,
     runs: int = RUNS,
+    facts: dict[str, dict] | None = None,
 ) -> DataFrame:
     """position, feature, score, mi, corr, stability, leakage_risk per prepared feature.
 
     ``row_key`` names the columns whose hash decides subsample membership (default: all).
     MI is scaled by the best feature of each run of ``chunk_size`` features (None: of all).
-    Text has no numeric order, so its correlation part is 0.
+    Text has no numeric order, so its correlation part is 0. ``facts`` are column report rows
+    by name, if they are known already and no target is missing.
     """
     name = C.check_target(df, target)
     known = drop_missing_target(df, name)
-    made, classify, edges = features_of(known, name, bins)
+    made, classify, edges = features_of(known, name, bins, facts)
     spark = df.sparkSession
     if not made:
         schema = (

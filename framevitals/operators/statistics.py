@@ -18,11 +18,16 @@ BATCH = 40
 
 
 def per_column(
-    df: DataFrame, columns: Sequence[str], metrics: Callable[[str], dict[str, Column]], schema: Sequence[str]
+    df: DataFrame,
+    columns: Sequence[str],
+    metrics: Callable[[str], dict[str, Column]],
+    schema: Sequence[str],
+    known: Callable[[str], dict[str, Column]] = lambda c: {},
 ) -> DataFrame:
     """One-row aggregates of many columns, turned into one row per column.
 
-    Wide frames are aggregated in batches so that generated code stays compilable.
+    ``metrics`` are aggregates, ``known`` are constants that only join the result. Wide
+    frames are aggregated in batches so that generated code stays compilable.
     """
     out = None
     for start in range(0, len(columns), BATCH):
@@ -30,38 +35,45 @@ def per_column(
         aggs, cells = [], []
         for i, c in enumerate(batch):
             cells.append(F.lit(c))
-            made = metrics(c)
+            made, fixed = metrics(c), known(c)
             for m in schema:
-                aggs.append(made[m].alias(f"{m}_{i}"))
-                cells.append(F.col(f"{m}_{i}"))
+                if m not in fixed:
+                    aggs.append(made[m].alias(f"{m}_{i}"))
+                cells.append(fixed[m] if m in fixed else F.col(f"{m}_{i}"))
         part = df.agg(*aggs).select(F.stack(F.lit(len(batch)), *cells).alias("column", *schema))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def stats_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def quartiles_of(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, list[float | None]]:
+    """Column -> quartiles, for handing to several of the checks below."""
+    df = C.nan_to_null(df)
+    return exact_quantiles(df, list(columns) if columns is not None else C.numeric_columns(df), QUARTILES)
+
+
+def stats_numeric(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    quartiles: dict[str, list[float | None]] | None = None,
+) -> DataFrame:
     """column, type, count, mean, std, min, q25, q50, q75, max of every numeric column."""
     df = C.nan_to_null(df)
     names = list(columns) if columns is not None else C.numeric_columns(df)
     types = dict(df.dtypes)
     if not names:
         return C.small_frame(df.sparkSession, _NUMERIC_SCHEMA, [])
-    quartiles = exact_quantiles(df, names, QUARTILES)
+    quartiles = exact_quantiles(df, names, QUARTILES) if quartiles is None else quartiles
 
     def metrics(c: str) -> dict[str, Column]:
         v = C.as_double(c)
-        q = [F.lit(x).cast("double") for x in quartiles[c]]
-        return {
-            "type": F.first(F.lit(types[c])),
-            "count": F.count(v),
-            "mean": F.avg(v),
-            "std": F.stddev_samp(v),
-            "min": F.min(v),
-            **{name: F.first(x) for name, x in zip(("q25", "q50", "q75"), q)},
-            "max": F.max(v),
-        }
+        return {"count": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
+
+    def known(c: str) -> dict[str, Column]:
+        quarters = {q: F.lit(x).cast("double") for q, x in zip(("q25", "q50", "q75"), quartiles[c])}
+        return {"type": F.lit(types[c]), **quarters}
 
-    return per_column(df, names, metrics, ("type", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
+    schema = ("type", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    return per_column(df, names, metrics, schema, known)
 
 
 _NUMERIC_SCHEMA = (
@@ -107,11 +119,14 @@ def stats_datetime(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     def metrics(c: str) -> dict[str, Column]:
         v = C.ref(c)
         exact_mean = F.floor(F.avg(v.cast("decimal(20,0)"))).cast("bigint")
-        q = [F.first(F.lit(None if x is None else int(x)).cast("bigint")) for x in quartiles[c]]
-        made = {"mean": exact_mean, "min": F.min(v), "q25": q[0], "q50": q[1], "q75": q[2], "max": F.max(v)}
+        made = {"mean": exact_mean, "min": F.min(v), "max": F.max(v)}
         return {"count": F.count(v), **{m: F.timestamp_micros(x) for m, x in made.items()}}
 
-    return per_column(ticks, names, metrics, ("count", *metrics_names))
+    def known(c: str) -> dict[str, Column]:
+        whole = [F.lit(None if x is None else int(x)).cast("bigint") for x in quartiles[c]]
+        return {q: F.timestamp_micros(x) for q, x in zip(("q25", "q50", "q75"), whole)}
+
+    return per_column(ticks, names, metrics, ("count", *metrics_names), known)
 
 
 def skewness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -123,7 +138,11 @@ def skewness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return per_column(df, names, lambda c: {"skewness": adjusted_skewness(C.as_double(c))}, ("skewness",))
 
 
-def outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def outliers(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    quartiles: dict[str, list[float | None]] | None = None,
+) -> DataFrame:
     """column, q1, q3, lower, upper, outliers, ratio by Tukey's fences.
 
     Columns without spread (equal quartiles) have no row. The ratio is over all rows. Bounds
@@ -131,7 +150,9 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """
     df = C.nan_to_null(df)
     names = list(columns) if columns is not None else C.numeric_columns(df)
-    quartiles = {c: q for c, q in exact_quantiles(df, names, (0.25, 0.75)).items() if None not in q and q[1] > q[0]}
+    found = exact_quantiles(df, names, (0.25, 0.75)) if quartiles is None else quartiles
+    quartiles = {c: (found[c][0], found[c][-1]) for c in names}
+    quartiles = {c: q for c, q in quartiles.items() if None not in q and q[1] > q[0]}
     schema = ("q1", "q3", "lower", "upper", "outliers", "ratio")
     if not quartiles:
         ddl = "column string, q1 double, q3 double, lower double, upper double, outliers bigint, ratio double"
@@ -142,16 +163,14 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         reach = 1.5 * (q3 - q1)
         lower, upper, v = F.lit(q1 - reach), F.lit(q3 + reach), C.as_double(c)
         hits = F.count_if((v < lower) | (v > upper))
-        return {
-            "q1": F.first(F.lit(q1)),
-            "q3": F.first(F.lit(q3)),
-            "lower": F.first(lower),
-            "upper": F.first(upper),
-            "outliers": hits,
-            "ratio": bands.ratio(hits, F.count(F.lit(1)), 4),
-        }
+        return {"outliers": hits, "ratio": bands.ratio(hits, F.count(F.lit(1)), 4)}
+
+    def known(c: str) -> dict[str, Column]:
+        q1, q3 = quartiles[c]
+        reach = 1.5 * (q3 - q1)
+        return {"q1": F.lit(q1), "q3": F.lit(q3), "lower": F.lit(q1 - reach), "upper": F.lit(q3 + reach)}
 
-    return per_column(df, list(quartiles), metrics, schema)
+    return per_column(df, list(quartiles), metrics, schema, known)
 
 
 def outliers_zscore(df: DataFrame, columns: Sequence[str] | None = None, limit: float = 3.0) -> DataFrame:
@@ -171,11 +190,9 @@ def outliers_zscore(df: DataFrame, columns: Sequence[str] | None = None, limit:
     def metrics(c: str) -> dict[str, Column]:
         mean, std = moments[c]
         hits = F.count_if(F.abs((C.as_double(c) - F.lit(mean)) / F.lit(std)) > limit)
-        return {
-            "mean": F.first(F.lit(mean)),
-            "std": F.first(F.lit(std)),
-            "outliers": hits,
-            "ratio": bands.ratio(hits, F.count(F.lit(1)), 4),
-        }
-
-    return per_column(df, list(moments), metrics, ("mean", "std", "outliers", "ratio"))
+        return {"outliers": hits, "ratio": bands.ratio(hits, F.count(F.lit(1)), 4)}
+
+    def known(c: str) -> dict[str, Column]:
+        return {"mean": F.lit(moments[c][0]), "std": F.lit(moments[c][1])}
+
+    return per_column(df, list(moments), metrics, ("mean", "std", "outliers", "ratio"), known)

@@ -24,18 +24,19 @@ def range_check(df: DataFrame, rules: dict[str, tuple[float | None, float | None
     def metrics(c: str):
         low, high = rules[c]
         v = C.as_double(c)
-        below = F.count_if(v < F.lit(low)) if low is not None else F.first(F.lit(0).cast("bigint"))
-        above = F.count_if(v > F.lit(high)) if high is not None else F.first(F.lit(0).cast("bigint"))
+        below = F.count_if(v < F.lit(low).cast("double"))
+        above = F.count_if(v > F.lit(high).cast("double"))
         return {
-            "lower": F.first(F.lit(low).cast("double")),
-            "upper": F.first(F.lit(high).cast("double")),
             "below": below,
             "above": above,
             "violations": below + above,
             "ratio": bands.ratio(below + above, F.count(F.lit(1)), 4),
         }
 
-    return per_column(df, list(rules), metrics, ("lower", "upper", "below", "above", "violations", "ratio"))
+    def known(c: str):
+        return dict(zip(("lower", "upper"), (F.lit(x).cast("double") for x in rules[c])))
+
+    return per_column(df, list(rules), metrics, ("lower", "upper", "below", "above", "violations", "ratio"), known)
 
 
 def format_check(
@@ -50,14 +51,12 @@ def format_check(
         v = C.ref(c).cast("string")
         good = v.rlike(patterns[c]) if c in patterns else casts.to_datetime(v, C.STRING, dates[c]).isNotNull()
         present, invalid = F.count(v), F.count_if(v.isNotNull() & ~good)
-        return {
-            "kind": F.first(F.lit("pattern" if c in patterns else "date")),
-            "present": present,
-            "invalid": invalid,
-            "ratio": bands.ratio(invalid, present, 4),
-        }
+        return {"present": present, "invalid": invalid, "ratio": bands.ratio(invalid, present, 4)}
+
+    def known(c: str):
+        return {"kind": F.lit("pattern" if c in patterns else "date")}
 
-    return per_column(df, names, metrics, ("kind", "present", "invalid", "ratio"))
+    return per_column(df, names, metrics, ("kind", "present", "invalid", "ratio"), known)
 
 
 def schema_check(df: DataFrame, expected: T.StructType | str) -> DataFrame:

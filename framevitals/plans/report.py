@@ -52,12 +52,12 @@ def full_report(
     target: str | None = None,
     row_key: list[str] | None = None,
     declared: dict[str, str] | None = None,
-    keep_input: bool = True,
+    keep_input: bool = False,
 ) -> DataFrame:
     """All checks as (section, item, metric, num, txt).
 
-    The normalised input is kept on executors while the checks read it (``keep_input``) and
-    released before returning; the report itself is column-sized.
+    Every check scans only its columns. When the input is expensive to recompute and fits the
+    executors, ``keep_input`` keeps it there while the checks run. The report is column-sized.
     """
     data = C.nan_to_null(df)
     if keep_input:
@@ -88,14 +88,21 @@ def _sections(data: DataFrame, target: str | None, row_key, declared: dict[str,
         flagged = bool(balance.first()["is_imbalanced"])
         parts.append(as_rows(balance, "imbalance"))
         parts.append(as_rows(labels.class_distribution(data, name), "class", "label"))
-        parts.append(as_rows(predictive.predictive_power(data, name, row_key), "predictive_power", "feature"))
+        facts = None
+        if shared.column(name).missing == 0:  # then no row is dropped, and the profile's counts hold
+            facts = {
+                c.name: {"rows": shared.rows, "missing": c.missing, "n_unique": c.n_unique} for c in shared.columns
+            }
+        power = predictive.predictive_power(data, name, row_key, facts=facts)
+        parts.append(as_rows(power, "predictive_power", "feature"))
+    quartiles = statistics.quartiles_of(data)
     parts += [
         as_rows(leakage.leakage(data, target), "leakage"),
         as_rows(quality.quality(shared), "quality"),
         as_rows(quality.ml_readiness(shared, flagged).drop("penalties"), "ml_readiness"),
         as_rows(quality.suggestions(shared), "suggestion", "column"),
-        as_rows(statistics.outliers(data), "outliers", "column"),
-        as_rows(statistics.stats_numeric(data), "stats_numeric", "column"),
+        as_rows(statistics.outliers(data, quartiles=quartiles), "outliers", "column"),
+        as_rows(statistics.stats_numeric(data, quartiles=quartiles), "stats_numeric", "column"),
         as_rows(statistics.stats_categorical(data), "stats_categorical", "column"),
     ]
     if C.columns_in(data, C.DATETIME):
