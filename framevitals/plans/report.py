@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,9 @@ from framevitals.functions import columns as C
 from framevitals.operators import labels, leakage, predictive, quality, statistics
 from framevitals.operators.profile import Profile, profile, summary
 from framevitals.plans import views
+from framevitals.sources.reports import REPORT_SCHEMA
+
+JOBS = 6
 
 
 def as_rows(frame: DataFrame, section: str, item: str | None = None) -> DataFrame:
@@ -70,9 +74,64 @@ def full_report(
 
 
 def _sections(data: DataFrame, target: str | None, row_key, declared: dict[str, str]) -> DataFrame:
-    shared = profile(data)
-    columns = views.with_declared_types(_columns(shared), declared)
-    totals = columns.agg(
+    """Run independent checks as concurrent jobs, so small stages of one fill the gaps of another."""
+    name = C.check_target(data, target) if target else None
+    with ThreadPoolExecutor(max_workers=JOBS) as pool:
+
+        def later(make: Callable[[], DataFrame], section: str, item: str | None = None) -> Future:
+            return pool.submit(inheritable(data, lambda: as_rows(make(), section, item).collect()))  # column-sized
+
+        quartiles = pool.submit(inheritable(data, lambda: statistics.quartiles_of(data)))
+        futures = [
+            later(lambda: leakage.leakage(data, target), "leakage"),
+            later(lambda: statistics.stats_categorical(data), "stats_categorical", "column"),
+        ]
+        if C.columns_in(data, C.DATETIME):
+            futures.append(later(lambda: statistics.stats_datetime(data), "stats_datetime", "column"))
+        flagged = False
+        if name:
+            futures.append(later(lambda: labels.class_distribution(data, name), "class", "label"))
+            balance = labels.imbalance(data, name)
+            balance = C.small_frame(data.sparkSession, balance.schema, [tuple(balance.first())])
+            flagged = bool(balance.first()["is_imbalanced"])
+            futures.append(later(lambda: balance, "imbalance"))
+
+        shared = profile(data)
+        facts = None
+        if name and shared.column(name).missing == 0:  # then no row is dropped, and the profile's counts hold
+            facts = {
+                c.name: {"rows": shared.rows, "missing": c.missing, "n_unique": c.n_unique} for c in shared.columns
+            }
+        if name:
+            futures.append(
+                later(
+                    lambda: predictive.predictive_power(data, name, row_key, facts=facts), "predictive_power", "feature"
+                )
+            )
+        columns = views.with_declared_types(_columns(shared), declared)
+        futures += [
+            later(lambda: _totals(shared, columns, target), "summary"),
+            later(lambda: columns, "column", "column"),
+            later(lambda: quality.quality(shared), "quality"),
+            later(lambda: quality.ml_readiness(shared, flagged).drop("penalties"), "ml_readiness"),
+            later(lambda: quality.suggestions(shared), "suggestion", "column"),
+        ]
+        known = quartiles.result()
+        futures += [
+            later(lambda: statistics.outliers(data, quartiles=known), "outliers", "column"),
+            later(lambda: statistics.stats_numeric(data, quartiles=known), "stats_numeric", "column"),
+        ]
+        rows = [tuple(r) for f in futures for r in f.result()]
+    return C.small_frame(data.sparkSession, REPORT_SCHEMA, rows)
+
+
+def inheritable(data: DataFrame, work: Callable):
+    """Keep the job group and other local properties of the caller in a worker thread."""
+    return inheritable_thread_target(data.sparkSession)(work)
+
+
+def _totals(shared: Profile, columns: DataFrame, target: str | None) -> DataFrame:
+    return columns.agg(
         F.lit(shared.rows).cast("bigint").alias("rows"),
         F.lit(len(shared.columns)).alias("cols"),
         bands.percent(F.sum("missing"), F.lit(shared.rows * len(shared.columns))).alias("missing_pct"),
@@ -80,35 +139,3 @@ def _sections(data: DataFrame, target: str | None, row_key, declared: dict[str,
         bands.percent(F.lit(shared.duplicates), F.lit(shared.rows)).alias("duplicates_pct"),
         F.lit(target).cast("string").alias("target"),
     )
-    flagged = False
-    parts = [as_rows(totals, "summary"), as_rows(columns, "column", "column")]
-    if target:
-        name = C.check_target(data, target)
-        balance = labels.imbalance(data, name)
-        flagged = bool(balance.first()["is_imbalanced"])
-        parts.append(as_rows(balance, "imbalance"))
-        parts.append(as_rows(labels.class_distribution(data, name), "class", "label"))
-        facts = None
-        if shared.column(name).missing == 0:  # then no row is dropped, and the profile's counts hold
-            facts = {
-                c.name: {"rows": shared.rows, "missing": c.missing, "n_unique": c.n_unique} for c in shared.columns
-            }
-        power = predictive.predictive_power(data, name, row_key, facts=facts)
-        parts.append(as_rows(power, "predictive_power", "feature"))
-    quartiles = statistics.quartiles_of(data)
-    parts += [
-        as_rows(leakage.leakage(data, target), "leakage"),
-        as_rows(quality.quality(shared), "quality"),
-        as_rows(quality.ml_readiness(shared, flagged).drop("penalties"), "ml_readiness"),
-        as_rows(quality.suggestions(shared), "suggestion", "column"),
-        as_rows(statistics.outliers(data, quartiles=quartiles), "outliers", "column"),
-        as_rows(statistics.stats_numeric(data, quartiles=quartiles), "stats_numeric", "column"),
-        as_rows(statistics.stats_categorical(data), "stats_categorical", "column"),
-    ]
-    if C.columns_in(data, C.DATETIME):
-        parts.append(as_rows(statistics.stats_datetime(data), "stats_datetime", "column"))
-    everything = reduce(DataFrame.unionByName, parts)
-    rows = everything.collect()  # report-sized: a few rows per column
-    return C.small_frame(
-        data.sparkSession, "section string, item string, metric string, num double, txt string", [tuple(r) for r in rows]
-    )
