@@ -25,7 +25,6 @@ PRIVATE_V4 = (
 PUBLIC_V4_EXCEPTIONS = ("192.0.0.9/32", "192.0.0.10/32")
 PRIVATE_V6 = (
     "::/127",
-    "::ffff:0:0/96",
     "64:ff9b:1::/48",
     "100::/64",
     "2001::/23",
@@ -95,9 +94,15 @@ def _any_of(networks) -> str:
     return "(" + "|".join(_prefix_pattern(n) for n in networks) + ")$"
 
 
+MAPPED_HEX = "^0{20}ffff([0-9a-f]{8})$"
+MAPPED_TEXT = r"(?i)^::ffff:(?=[0-9]+\.)"
 LOCAL_HEX = f"^(?!{_any_of(PUBLIC_V4_EXCEPTIONS + PUBLIC_V6_EXCEPTIONS)}){_any_of(PRIVATE_V4 + PRIVATE_V6)}"
 
 
 def is_local(ip: Column) -> Column:
-    """True for private, loopback, missing and malformed addresses: traffic not worth logging."""
-    return F.coalesce(hex_form(ip).rlike(LOCAL_HEX), F.lit(True))
+    """True for private, loopback, missing and malformed addresses: traffic not worth logging.
+
+    An IPv4 address mapped into IPv6 is judged as the IPv4 address.
+    """
+    digits = F.regexp_replace(hex_form(F.regexp_replace(ip, MAPPED_TEXT, "")), MAPPED_HEX, "$1")
+    return F.coalesce(digits.rlike(LOCAL_HEX), F.lit(True))

@@ -20,9 +20,10 @@ _STEPS: dict[str, Step] = {}
 def register_check(name: str) -> Callable[[Check], Check]:
     """Add ``check(df, target, profile, context) -> DataFrame``; a name can be taken only once."""
 
+    if not name:
+        raise ValueError("a check needs a name")
+
     def add(check: Check) -> Check:
-        if not name:
-            raise ValueError("a check needs a name")
         if name in _CHECKS and _CHECKS[name] is not check:
             raise ValueError(f"check '{name}' is already registered")
         _CHECKS[name] = check
@@ -34,9 +35,10 @@ def register_check(name: str) -> Callable[[Check], Check]:
 def register_step(name: str) -> Callable[[Step], Step]:
     """Add ``step(df, **params) -> (df, log)``; a later registration replaces an earlier one."""
 
+    if not name:
+        raise ValueError("a step needs a name")
+
     def add(step: Step) -> Step:
-        if not name:
-            raise ValueError("a step needs a name")
         _STEPS[name] = step
         return step
 
