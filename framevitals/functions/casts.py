@@ -68,9 +68,15 @@ def is_whole(number: Column) -> Column:
 
 
 def infer_types(
-    df: DataFrame, columns: Sequence[str] | None = None, formats: Sequence[str] = DATE_FORMATS
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    formats: Sequence[str] = DATE_FORMATS,
+    flags: Sequence[str] = (),
 ) -> dict[str, str]:
-    """column -> 'int', 'float', 'date' or 'string', judged on every value in one aggregate."""
+    """column -> 'int', 'float', 'date' or 'string', judged on every value in one aggregate.
+
+    Text columns with nothing but ``flags`` are 'bool'.
+    """
     names = list(columns) if columns is not None else [c for c, f in C.families(df).items() if f != C.NESTED]
     C.require(df, names)
     df = C.nan_to_null(df)
@@ -88,12 +94,15 @@ def infer_types(
                 F.count(number).alias(f"num{i}"),
                 F.count_if(is_whole(number)).alias(f"whole{i}"),
                 F.count(to_datetime(v, fam, formats)).alias(f"date{i}"),
+                F.count_if(v.cast("string").isin(*flags) if flags else F.lit(False)).alias(f"flag{i}"),
             ]
         row = df.agg(*aggs).first()
         for i, c in enumerate(part):
             n, fam = row[f"n{i}"], families[c]
             if n == 0:
                 out[c] = "string"
+            elif row[f"flag{i}"] == n and fam == C.STRING:
+                out[c] = "bool"
             elif fam == C.DATETIME or (fam == C.STRING and row[f"num{i}"] < n and row[f"date{i}"] == n):
                 out[c] = "date"
             elif row[f"num{i}"] == n:

@@ -82,6 +82,14 @@ def as_double(name: str) -> Column:
     return ref(name).cast("double")
 
 
+def total(parts: Sequence[Column]) -> Column:
+    """Sum of many expressions as a balanced tree: a chain over a wide frame is too deep to plan."""
+    parts = list(parts)
+    while len(parts) > 1:
+        parts = [a + b for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2 :]
+    return parts[0] if parts else F.lit(0)
+
+
 def micros(column: Column) -> Column:
     """Microseconds since the epoch of a date or timestamp of either kind."""
     return F.unix_micros(column.cast("timestamp"))

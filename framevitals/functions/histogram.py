@@ -19,6 +19,7 @@ from framevitals.functions import columns as C
 
 CID, INT, DBL, TXT, HITS = "cid", "int_value", "dbl_value", "txt_value", "n"
 LONG_TEXT = 64
+BATCH = 100
 
 
 def _slots(field: T.StructField, digest_long: bool) -> tuple[Column, Column, Column]:
@@ -52,11 +53,12 @@ def value_histogram(df: DataFrame, columns: Sequence[str] | None = None, digest_
     A NULL cell has all three slots NULL. Nested columns only count present and missing.
     """
     names = list(df.columns if columns is None else columns)
-    cells = []
-    for i, name in enumerate(names):
-        slots = _slots(df.schema[name], digest_long)
-        cells.extend([F.lit(i), *slots])
-    long = df.select(F.stack(F.lit(len(names)), *cells).alias(CID, INT, DBL, TXT))
+    long = None
+    for start in range(0, len(names), BATCH):  # very wide frames: a few narrow scans, still one shuffle
+        batch = names[start : start + BATCH]
+        cells = [x for i, c in enumerate(batch) for x in (F.lit(start + i), *_slots(df.schema[c], digest_long))]
+        part = df.select(F.stack(F.lit(len(batch)), *cells).alias(CID, INT, DBL, TXT))
+        long = part if long is None else long.unionByName(part)
     return long.groupBy(CID, INT, DBL, TXT).agg(F.count(F.lit(1)).alias(HITS))
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framevitals.functions import net
+from framevitals.operators.lookup import attach
+from framevitals.sources.scratch import checkpointed
 
 BLOCK_BITS = 16
-SALTS = 16
 SMALL_RANGES = 2_000_000
 UNKNOWN = "Unknown"
 NO_CITY = "—"
@@ -24,26 +25,33 @@ def public_only(events: DataFrame, ip: str = "ip") -> DataFrame:
 def geo_lookup(events: DataFrame, ranges: DataFrame, ip: str = "ip", small: int = SMALL_RANGES) -> DataFrame:
     """Add ``country`` from non-overlapping ``ranges`` (lo, hi, country); 'Unknown' without a match.
 
-    A range join by equality: ranges are cut at /16 blocks, events carry the block of their
-    address, and the bounds are checked on the few ranges of that block. The cut ranges are
-    broadcast when their counted number is small; otherwise every block is spread over
-    ``SALTS`` sub-blocks, so one busy network is not one task.
+    A range join by equality: ranges are cut at /16 blocks, an address carries its block, and
+    the bounds are checked on the few ranges of that block. Cut ranges of a small counted
+    number are broadcast to the events. Otherwise each distinct address is looked up once (a
+    block has at most 65 536 of them, however busy the network) and the answers are attached.
     """
-    number = net.v4_number(F.col(ip))
     size = 1 << BLOCK_BITS
     cut = ranges.select(F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), "country").select(
         "*", F.explode(F.sequence(F.floor(F.col("__lo") / size), F.floor(F.col("__hi") / size))).alias("__block")
     )
-    keyed = events.select("*", number.alias("__ip"), F.floor(number / size).alias("__event_block"))
     on = (F.col("__event_block") == F.col("__block")) & F.col("__ip").between(F.col("__lo"), F.col("__hi"))
+
+    def located(df: DataFrame, address: str, how: str, hint: bool) -> DataFrame:
+        number = net.v4_number(F.col(address))
+        keyed = df.withColumn("__ip", number).withColumn("__event_block", F.floor(F.col("__ip") / size))
+        return keyed.join(F.broadcast(cut) if hint else cut, on, how)
+
     if cut.count() <= small:
-        joined = keyed.join(F.broadcast(cut), on, "left")
+        found = located(events, ip, "left", True)
     else:
-        salted = cut.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        plain = [c for c, t in events.dtypes if "map<" not in t]
-        spread = keyed.withColumn("__event_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
-        joined = spread.join(salted, on & (F.col("__event_salt") == F.col("__salt")), "left")
-    return joined.select(*events.columns, F.coalesce("country", F.lit(UNKNOWN)).alias("country"))
+        addresses = events.groupBy(F.col(ip).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        answers = checkpointed(
+            located(addresses.where("value is not null"), "value", "left", False).select(
+                "value", F.col("country").alias("found"), "n"
+            )
+        )
+        found = attach(events, F.col(ip), answers, "country", answers.count(), small)
+    return found.select(*events.columns, F.coalesce("country", F.lit(UNKNOWN)).alias("country"))
 
 
 def entries(

@@ -14,12 +14,10 @@ from framevitals.functions import columns as C
 from framevitals.functions import histogram as H
 from framevitals.functions.moments import adjusted_skewness
 from framevitals.functions.quantiles import exact_quantiles
+from framevitals.operators.lookup import SMALL_DICTIONARY, attach
 from framevitals.sources.scratch import checkpointed
 
 SKEW_LIMIT = 1.0
-SMALL_DICTIONARY = 1_000_000
-HOT_SHARE = 0.001
-SPREAD = 997
 
 
 # --- rows -------------------------------------------------------------------------------
@@ -256,35 +254,10 @@ def encoding(df: DataFrame, column: str, small: int = SMALL_DICTIONARY) -> tuple
 
 
 def label_encode(df: DataFrame, column: str, small: int = SMALL_DICTIONARY) -> DataFrame:
-    """Replace values by their rank (0..) among the sorted distinct values; NULL stays NULL.
-
-    A dictionary of a checked size is broadcast. A larger one is joined by shuffle: its few
-    frequent values are broadcast, and only rows with a rare value meet in the shuffle, so
-    no task gets all rows of a hot value (rows without a rare value are spread evenly).
-    """
+    """Replace values by their rank (0..) among the sorted distinct values; NULL stays NULL."""
     dictionary, size = encoding(df, column, small)
-    value = C.ref(column)
-    df = C.nan_to_null(df)
-    if size <= small:
-        codes = dictionary.select(F.col("value").alias("__value"), F.col("code").alias("__code"))
-        joined = df.join(F.broadcast(codes), value == F.col("__value"), "left")
-        return joined.select(*[F.col("__code").alias(c) if c == column else C.ref(c) for c in df.columns])
-    dictionary = checkpointed(dictionary)
-    rows = dictionary.agg(F.sum("n")).first()[0]
-    hot = dictionary.where(F.col("n") > int(rows * HOT_SHARE))  # at most 1 / HOT_SHARE values
-    first = df.join(
-        F.broadcast(hot.select(F.col("value").alias("__hot"), F.col("code").alias("__hot_code"))),
-        value == F.col("__hot"),
-        "left",
-    )
-    settled = value.isNull() | F.col("__hot_code").isNotNull()
-    spread = F.pmod(F.xxhash64(*[C.ref(c) for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]), F.lit(SPREAD)) + 1
-    keyed = first.withColumn("__key", F.when(~settled, value)).withColumn(
-        "__salt", F.when(settled, spread).otherwise(F.lit(0)).cast("bigint")
-    )
-    cold = dictionary.where(F.col("n") <= int(rows * HOT_SHARE)).select(
-        F.col("value").alias("__cold"), F.col("code").alias("__cold_code"), F.lit(0).cast("bigint").alias("__zero")
-    )
-    joined = keyed.join(cold, (F.col("__key") == F.col("__cold")) & (F.col("__salt") == F.col("__zero")), "left")
-    code = F.coalesce("__hot_code", "__cold_code")
-    return joined.select(*[code.alias(c) if c == column else C.ref(c) for c in df.columns])
+    if size > small:
+        dictionary = checkpointed(dictionary)
+    entries = dictionary.select("value", F.col("code").alias("found"), "n")
+    coded = attach(C.nan_to_null(df), C.ref(column), entries, "__code", size, small)
+    return coded.select(*[F.col("__code").alias(c) if c == column else C.ref(c) for c in df.columns])

@@ -53,21 +53,25 @@ def duplicate_columns(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
             if row["rows"] == 0:
                 return C.small_frame(df.sparkSession, _DUP_SCHEMA, [])
 
-    pairs, same = [], set()
+    twin: dict[str, str] = {}
+    open_groups = []
     for (kind, *_), members in groups.items():
         if kind == "empty":
-            same.update((members[0], later) for later in members[1:])
-        else:
-            pairs += [(a, b) for j, b in enumerate(members) for a in members[:j]]
-    for start in range(0, len(pairs), BATCH):
-        batch = pairs[start : start + BATCH]
-        checks = [F.bool_and(kinds[a][1].eqNullSafe(kinds[b][1])).alias(f"same{i}") for i, (a, b) in enumerate(batch)]
-        row = df.agg(*checks).first()
-        same.update(pair for i, pair in enumerate(batch) if row[f"same{i}"])
-    first = {}
-    for a, b in sorted(same, key=lambda p: (names.index(p[1]), names.index(p[0]))):
-        first.setdefault(b, a)
-    return C.small_frame(df.sparkSession, _DUP_SCHEMA, [(b, first[b]) for b in names if b in first])
+            twin.update({later: members[0] for later in members[1:]})
+        elif len(members) > 1:
+            open_groups.append(members)
+    while open_groups:  # each round compares with the first of a group; the unequal ones go on without it
+        pairs = [(members[0], later) for members in open_groups for later in members[1:]]
+        equal: set[tuple[str, str]] = set()
+        for start in range(0, len(pairs), BATCH):
+            batch = pairs[start : start + BATCH]
+            checks = [F.bool_and(kinds[a][1].eqNullSafe(kinds[b][1])).alias(f"p{i}") for i, (a, b) in enumerate(batch)]
+            row = df.agg(*checks).first()
+            equal.update(pair for i, pair in enumerate(batch) if row[f"p{i}"])
+        twin.update({later: first for first, later in equal})
+        rest = [[m for m in members[1:] if (members[0], m) not in equal] for members in open_groups]
+        open_groups = [members for members in rest if len(members) > 1]
+    return C.small_frame(df.sparkSession, _DUP_SCHEMA, [(b, twin[b]) for b in names if b in twin])
 
 
 _DUP_SCHEMA = "column string, duplicate_of string"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +66,8 @@ def _approx_counts(df: DataFrame) -> DataFrame:
 
 def duplicates(df: DataFrame) -> DataFrame:
     """rows, duplicates (rows beyond the first of each group of equal rows), duplicates_pct."""
-    grouped = C.nan_to_null(df).groupBy(*H.row_keys(C.nan_to_null(df))).agg(F.count(F.lit(1)).alias(H.HITS))
+    df = C.nan_to_null(df)
+    grouped = df.groupBy(*H.row_keys(df)).agg(F.count(F.lit(1)).alias(H.HITS))
     totals = grouped.agg(F.coalesce(F.sum(H.HITS), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("kept"))
     extra = F.col("rows") - F.col("kept")
     return totals.select(
@@ -82,7 +85,7 @@ def summary(df: DataFrame, target: str | None = None, with_duplicates: bool = Tr
     """
     df = C.nan_to_null(df)
     width = len(df.columns)
-    empty_cells = sum((F.col(C.quoted(c)).isNull().cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
+    empty_cells = C.total([C.ref(c).isNull().cast("bigint") for c in df.columns])
     if with_duplicates:
         marked = df.select(*H.row_keys(df), empty_cells.alias("__empty"))
         keys = [C.ref(c) for c in marked.columns if c != "__empty"]
@@ -143,9 +146,11 @@ class Profile:
 
 
 def profile(df: DataFrame, approx: bool = False) -> Profile:
-    """Run the column and duplicate counts (two jobs) and keep the column-sized result."""
-    got = {r["position"]: r for r in column_report(df, approx).collect()}  # one row per column
-    total = duplicates(df).first()
+    """Run the column and duplicate counts (two concurrent jobs) and keep the column-sized result."""
+    with ThreadPoolExecutor(max_workers=1) as pool:
+        counted = pool.submit(inheritable_thread_target(df.sparkSession)(lambda: duplicates(df).first()))
+        got = {r["position"]: r for r in column_report(df, approx).collect()}  # one row per column
+        total = counted.result()
     infos = []
     for i, (field, family) in enumerate(zip(df.schema.fields, C.families(df).values())):
         r = got.get(i)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from framevitals.functions import bands, casts
 from framevitals.functions import columns as C
 from framevitals.functions import histogram as H
+from framevitals.operators.lookup import attach
 from framevitals.operators.statistics import per_column
 
 UNIT_PATTERN = r"^\s*[-+]?[0-9][0-9.,]*\s*([A-Za-z%°µ]+)\s*$"
@@ -155,12 +156,12 @@ def category_variants(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 def normalize_categories(df: DataFrame, column: str) -> DataFrame:
     """Replace every spelling variant by the preferred one; rows without variants are untouched."""
     C.require(df, column)
-    variants = category_variants(df, [column]).select(F.col("normal").alias("__normal"), "preferred")
-    key = F.lower(F.trim(C.ref(column)))
-    small = variants.count() <= 1_000_000
-    joined = df.join(F.broadcast(variants) if small else variants, key == F.col("__normal"), "left")
-    fixed = F.coalesce("preferred", C.ref(column))
-    return joined.select(*[fixed.alias(c) if c == column else C.ref(c) for c in df.columns])
+    entries = category_variants(df, [column]).select(
+        F.col("normal").alias("value"), F.col("preferred").alias("found"), "n"
+    )
+    fixed = attach(df, F.lower(F.trim(C.ref(column))), entries, "__preferred", entries.count())
+    value = F.coalesce("__preferred", C.ref(column))
+    return fixed.select(*[value.alias(c) if c == column else C.ref(c) for c in df.columns])
 
 
 def unit_mix(df: DataFrame, columns: Sequence[str] | None = None, pattern: str = UNIT_PATTERN) -> DataFrame:

@@ -59,21 +59,14 @@ def read_csv(
     )
     paths = path if isinstance(path, str) else list(path)
     text = reader.csv(paths)
-    gone = [t for t in missing]
-    text = text.select(*[F.when(~C.ref(c).isin(gone), C.ref(c)).alias(c) for c in text.columns])
+    text = text.select(*[F.when(~C.ref(c).isin(list(missing)), C.ref(c)).alias(c) for c in text.columns])
     if schema is not None:
         return text.select(*[C.ref(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
-    kinds = infer_types(text, formats=("yyyy-MM-dd",))
-    flags = text.agg(
-        *[
-            (F.count_if(C.ref(c).isin(*BOOL_TEXT)) == F.nullif(F.count(C.ref(c)), F.lit(0))).alias(f"b{i}")
-            for i, c in enumerate(text.columns)
-        ]
-    ).first()
+    kinds = infer_types(text, formats=("yyyy-MM-dd",), flags=BOOL_TEXT)
     out = []
-    for i, c in enumerate(text.columns):
+    for c in text.columns:
         v = C.ref(c)
-        if flags[f"b{i}"]:
+        if kinds[c] == "bool":
             v = to_bool(v, C.STRING)
         elif kinds[c] == "int":
             v = to_int(v, C.STRING)
