@@ -286,7 +286,7 @@ def _(spark, sf_dir):
 
 @query(
     "clean_log",
-    f"""with src as ({BLANKED}), u as ({UNIQUE}) select * from (values
+    f"""with src as ({BLANKED}), u as ({UNIQUE}) select step_no::bigint as step_no, action, status, metric, value from (values
     (1, 'drop_columns', 'done', 'dropped', 'const_col'), (1, 'drop_columns', 'done', 'count', '1'),
     (2, 'remove_duplicates', 'done', 'duplicates_removed',
         cast((select count(*) from src) - (select count(*) from u) as varchar)),

@@ -141,7 +141,7 @@ EVENT_TYPES = {
 def report_sql(source: str, types: dict[str, tuple[str, str]]) -> str:
     """Column report of ``source`` (a SELECT) for the checking engine."""
     parts = [
-        f"select {i} as position, '{c}' as \"column\", '{t}' as type, '{fam}' as family, "
+        f"select {i}::bigint as position, '{c}' as \"column\", '{t}' as type, '{fam}' as family, "
         f"count(*) as rows, count(*) - count({c}) as missing, "
         f"{pct(f'(count(*) - count({c}))', 'count(*)')} as missing_pct, "
         f"count(distinct {c}) as n_unique from src"
@@ -158,7 +158,7 @@ def quality_parts(source: str, columns: list[str]) -> str:
     return (
         f"src as ({source}), "
         f"dd as (select count(*) as kept from (select distinct * from src)), "
-        f"q as (select count(*) as rows, {n} as cols, "
+        f"q as (select count(*) as rows, {n}::bigint as cols, "
         f"({gaps})::double / (count(*) * {n}) as m, "
         f"(count(*) - (select kept from dd))::double / count(*) as d, "
         f"({const})::double / {n} as c from src)"

@@ -136,7 +136,7 @@ def _(spark, sf_dir):
 @query(
     "validate_source",
     f"""select (select count(*) from ({DIRTY})) as data_lines, (select count(*) from ({DIRTY})) as comma_lines,
-    0 as ragged_lines, true as ok, null::varchar as reason""",
+    0::bigint as ragged_lines, true as ok, null::varchar as reason""",
 )
 def _(spark, sf_dir):
     path = fresh_path(spark, "orders-csv")

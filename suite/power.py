@@ -37,7 +37,7 @@ DIRTY_FEATURES = [
     ("o_orderdate_month", True, "coalesce(month(o_orderdate), 0)", None, True),
     ("o_orderdate_day", True, "coalesce(day(o_orderdate), 0)", None, True),
     ("o_orderpriority", True, "coalesce(o_orderpriority, 'missing')", None, False),
-    ("sparse_val_missing", True, "case when sparse_val is null then 1 else 0 end", None, True),
+    ("sparse_val_missing", True, "case when sparse_val is null then 1::bigint else 0::bigint end", None, True),
     ("sparse_val", False, "sparse_fill", bin_sql("sparse_fill", "sparse_val", KNOWN), True),
 ]
 DIRTY_Y = bin_sql("o_totalprice", "o_totalprice", KNOWN)
@@ -55,11 +55,11 @@ def mi_sql(source: str, y: str, features: list[tuple], key: str | None = None, r
     member = f"md5(cast({key} as varchar))" if key else "''"
     long = union(
         [
-            f"select {i} as position, cast({cell or value} as varchar) as x, cast({y} as varchar) as y, {member} as h from known"
+            f"select {i}::bigint as position, cast({cell or value} as varchar) as x, cast({y} as varchar) as y, {member} as h from known"
             for i, (_, _, value, cell, _) in enumerate(features)
         ]
     )
-    names = ", ".join(f"({i}, '{f[0]}', {str(f[1]).lower()})" for i, f in enumerate(features))
+    names = ", ".join(f"({i}::bigint, '{f[0]}', {str(f[1]).lower()})" for i, f in enumerate(features))
     keep = "substr(h, 1 + 4 * cast(r as integer), 4) < 'cccd'" if key else "true"
     return f"""known as (select * from ({source})), long as ({long}),
     member as (select position, x, y, r from long, range({runs}) t(r) where {keep}),
@@ -133,7 +133,7 @@ def _(spark, sf_dir):
 @query(
     "feature_list",
     "select * from (values "
-    + ", ".join(f"({i}, '{f[0]}', {str(f[1]).lower()})" for i, f in enumerate(DIRTY_FEATURES))
+    + ", ".join(f"({i}::bigint, '{f[0]}', {str(f[1]).lower()})" for i, f in enumerate(DIRTY_FEATURES))
     + ") t(position, feature, discrete)",
 )
 def _(spark, sf_dir):

@@ -25,7 +25,7 @@ BASE = (
 
 SUMMARY_SQL = f"""
 with src as ({DIRTY}), dd as (select count(*) as kept from (select distinct * from src))
-select count(*) as rows, {len(COLS)} as cols, {pct(f'({GAPS})', f'(count(*) * {len(COLS)})')} as missing_pct,
+select count(*) as rows, {len(COLS)}::bigint as cols, {pct(f'({GAPS})', f'(count(*) * {len(COLS)})')} as missing_pct,
        count(*) - (select kept from dd) as duplicates,
        {pct('(count(*) - (select kept from dd))', 'count(*)')} as duplicates_pct, 'o_totalprice' as target
 from src
@@ -67,7 +67,7 @@ def _(spark, sf_dir):
 
 @query(
     "column_report_nested",
-    """select 0 as position, 'vec_id' as "column", 'bigint' as type, 'integer' as family, count(*) as rows,
+    """select 0::bigint as position, 'vec_id' as "column", 'bigint' as type, 'integer' as family, count(*) as rows,
        count(*) - count(vec_id) as missing, 0.0::double as missing_pct, count(distinct vec_id) as n_unique from embeddings
        union all select 1, 'embedding', 'array<float>', 'nested', count(*), count(*) - count(embedding), 0.0::double, null
        from embeddings
@@ -92,7 +92,7 @@ def _(spark, sf_dir):
     "profile",
     f"""with r as ({REPORT}), dup as (select count(*) - (select count(*) from (select distinct * from ({DIRTY}))) as n
     from ({DIRTY}))
-    select r.position, r."column", r.type, r.family, r.rows, {len(COLS)} as cols, r.missing, r.n_unique,
+    select r.position, r."column", r.type, r.family, r.rows, {len(COLS)}::bigint as cols, r.missing, r.n_unique,
            dup.n as duplicates, dup.n > 0 as any_duplicates from r, dup""",
 )
 def _(spark, sf_dir):
@@ -218,7 +218,7 @@ def _(spark, sf_dir):
 
 
 READINESS = f"""with {QUALITY} select cast(floor(greatest(round(0.6 * {BASE} + 0.4 * {SCORE}, 9), 0)) as bigint) as value,
-    {BASE} as base,
+    cast({BASE} as bigint) as base,
     concat_ws(',', case when rows < 100 then 'low_sample_size:20' end,
                    case when cols < 3 then 'insufficient_features:15' end,
                    case when m > 0.1 then 'high_missing_values:20' end,

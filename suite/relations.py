@@ -51,7 +51,7 @@ def _(spark, sf_dir):
     string_agg(feature, ',' order by feature desc) filter (where band = 'high') as high from c)
     select case when np > 0 or nh > 2 then 'HIGH' when nh > 0 then 'LOW' else 'NONE' end as risk,
     coalesce(perfect, '') as perfect_predictors, coalesce(high, '') as high_correlation, '' as duplicate_columns,
-    7 as numeric_features, null::varchar as details from p""",
+    7::bigint as numeric_features, null::varchar as details from p""",
 )
 def _(spark, sf_dir):
     found = leakage.leakage(fixture(spark, sf_dir, LINE_LEAK), "l_extendedprice")
