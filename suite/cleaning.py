@@ -277,7 +277,7 @@ CLEANED = f"""select o_orderkey, o_custkey, dense_rank() over (order by o_orders
 
 
 @query(
-    "clean_pipeline",
+    "clean_recipe",
     "select " + ", ".join(f"{e} as {c}" for c, e in SHOWN.items() if c != "const_col") + f" from ({CLEANED})",
 )
 def _(spark, sf_dir):

@@ -15,10 +15,10 @@ from framevitals.streaming.profile import profile_stream
 from suite.fixtures import (
     EVENT_TYPES, EVENTS_IP, RANGES, fixture, named, pct, plain, query, stamp, table, union,
 )
-from suite.power import POWER
+from suite.power import POWER, bin_sql, power_sql
 from suite.profiling import (
     COLS, DIRTY, QUALITY, READINESS, REPORT, SCORE, SUGGESTIONS, SUMMARY_SQL, categorical_sql, datetime_sql, dirty,
-    imbalance_sql, numeric_sql, outliers_sql,
+    distribution_sql, imbalance_sql, numeric_sql, outliers_sql,
 )
 
 # --- full report ------------------------------------------------------------------------
@@ -97,6 +97,48 @@ def _(spark, sf_dir):
     return plain(rows.withColumn("txt", seconds), 4)
 
 
+FILLED = f"""select *, coalesce(o_totalprice, (select quantile_cont(o_totalprice, 0.5) from ({DIRTY}))) as price_fill,
+    coalesce(sparse_val, (select quantile_cont(sparse_val, 0.5) from ({DIRTY}))) as sparse_fill from ({DIRTY})"""
+STATUS_FEATURES = [
+    ("o_orderkey", False, "o_orderkey::double", bin_sql("o_orderkey", "o_orderkey", DIRTY), True),
+    ("o_custkey", False, "o_custkey::double", bin_sql("o_custkey", "o_custkey", DIRTY), True),
+    ("o_orderdate_year", True, "coalesce(year(o_orderdate), 0)", None, True),
+    ("o_orderdate_month", True, "coalesce(month(o_orderdate), 0)", None, True),
+    ("o_orderdate_day", True, "coalesce(day(o_orderdate), 0)", None, True),
+    ("o_totalprice_missing", True, "case when o_totalprice is null then 1 else 0 end", None, True),
+    ("o_totalprice", False, "price_fill", bin_sql("price_fill", "o_totalprice", DIRTY), True),
+    ("o_orderpriority", True, "coalesce(o_orderpriority, 'missing')", None, False),
+    ("sparse_val_missing", True, "case when sparse_val is null then 1 else 0 end", None, True),
+    ("sparse_val", False, "sparse_fill", bin_sql("sparse_fill", "sparse_val", DIRTY), True),
+]
+BY_STATUS = union(
+    [
+        melted(
+            imbalance_sql(DIRTY, "o_orderstatus"), "imbalance", ALL,
+            ["rows", "num_classes", "majority_ratio", "minority_ratio", "missing_ratio"],
+            ["target", "severity", "is_imbalanced", "details"],
+        ),
+        melted(distribution_sql(DIRTY, "o_orderstatus"), "class", "label", ["n", "share", "share_pct"], []),
+        melted(
+            power_sql(FILLED, "o_orderstatus", STATUS_FEATURES, "o_orderkey", None), "predictive_power", "feature",
+            ["position", "score", "mi", "corr", "stability"], ["leakage_risk"],
+        ),
+        melted(
+            f"""select 'NONE' as risk, '' as perfect_predictors, '' as high_correlation, '' as duplicate_columns,
+            4 as numeric_features, null as details from ({DIRTY}) having count(*) > 0""",
+            "leakage", ALL, ["numeric_features"],
+            ["risk", "perfect_predictors", "high_correlation", "duplicate_columns", "details"],
+        ),
+    ]
+)
+
+
+@query("report_other_target", BY_STATUS)
+def _(spark, sf_dir):
+    rows = full_report(dirty(spark, sf_dir), "o_orderstatus", row_key=["o_orderkey"])
+    return plain(rows.where(F.col("section").isin("imbalance", "class", "predictive_power", "leakage")), 4)
+
+
 @query("report_json", f"{SUMMARY_ROWS} union all {COLUMN_ROWS}")
 def _(spark, sf_dir):
     df, path = dirty(spark, sf_dir), fresh_path(spark, "reports")
