@@ -76,6 +76,19 @@ def exact_quantiles(
     return out
 
 
+def bin_number(value: Column, edges: Sequence[float]) -> Column:
+    """Number of distinct edges below the value (0 for the lowest bin), by halving the edges."""
+    cuts = sorted(set(edges))
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low).cast("bigint")
+        middle = (low + high) // 2
+        return F.when(value > F.lit(cuts[middle]), between(middle + 1, high)).otherwise(between(low, middle))
+
+    return between(0, len(cuts))
+
+
 def _search(values, zones, probs, counts, found, level) -> list[_Zone]:
     """One round over some zones; settles what it can and returns the zones to look into."""
     row = values.agg(

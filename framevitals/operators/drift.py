@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framevitals.functions import columns as C
 from framevitals.functions import histogram as H
-from framevitals.functions.quantiles import exact_quantiles
+from framevitals.functions.quantiles import bin_number, exact_quantiles
 from framevitals.operators.profile import column_report
 
 PSI_FLOOR = 1e-4
@@ -35,8 +35,7 @@ def drift_psi(old: DataFrame, new: DataFrame, columns: Sequence[str] | None = No
         for i, c in enumerate(shared):
             v = C.ref(c)
             if c in numeric:
-                edges = sorted({e for e in cuts[c] if e is not None})
-                number = sum((F.when(v.cast("double") > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
+                number = bin_number(v.cast("double"), [e for e in cuts[c] if e is not None])
                 group = F.when(v.isNotNull(), number.cast("string"))
             elif families[c] == C.DATETIME:
                 group = F.date_format(v, "yyyy-MM")

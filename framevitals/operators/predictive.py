@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from framevitals.functions import columns as C
 from framevitals.functions import histogram as H
 from framevitals.functions.moments import pearson
-from framevitals.functions.quantiles import exact_quantiles
+from framevitals.functions.quantiles import bin_number, exact_quantiles
 from framevitals.operators.profile import column_report
 
 # Limits and weights that results must agree on.
@@ -70,11 +70,6 @@ def task_type(df: DataFrame, target: str) -> DataFrame:
     )
 
 
-def _binned(value: Column, edges: Sequence[float]) -> Column:
-    """Number of distinct edges below the value: 0 for the lowest bin."""
-    return sum((F.when(value > F.lit(e), 1).otherwise(0) for e in sorted(set(edges))), F.lit(0)).cast("bigint")
-
-
 def features_of(
     known: DataFrame, target: str, bins: int = BINS, facts: dict[str, dict] | None = None
 ) -> tuple[list[Feature], bool, tuple[float, ...]]:
@@ -149,20 +144,22 @@ def _n_ln_n(n: Column) -> Column:
 def _information(known: DataFrame, made: list[Feature], y: Column, members: list[Column]) -> DataFrame:
     """(position, mi_0 .. mi_k): mutual information of each feature with y in each subsample."""
     none_i, none_s = F.lit(None).cast("bigint"), F.lit(None).cast("string")
-    flat, cells = [y.alias("y")], []
+    values, flat, cells = [], [F.col("y")], []
     for i, f in enumerate(made):
+        values.append((f.value if f.numeric else H.text_key(f.value)).alias(f"v{i}"))
+        v = F.col(f"v{i}")
         if not f.numeric:
-            flat.append(H.text_key(f.value).alias(f"x{i}"))
+            flat.append(v.alias(f"x{i}"))
             cells += [F.lit(i), none_i, F.col(f"x{i}")]
         else:
-            whole = f.value.cast("bigint") if f.discrete else _binned(f.value, f.edges)
-            flat.append(whole.alias(f"x{i}"))
+            flat.append((v.cast("bigint") if f.discrete else bin_number(v, f.edges)).alias(f"x{i}"))
             cells += [F.lit(i), F.col(f"x{i}"), none_s]
     label = len(made)  # a constant pseudo feature: its cells are the distribution of y itself
     cells += [F.lit(label), F.lit(0).cast("bigint"), none_s]
-    flat += [m.alias(f"m{r}") for r, m in enumerate(members)]
+    members = [m.alias(f"m{r}") for r, m in enumerate(members)]
     runs = range(len(members))
-    long = known.select(*flat).select(
+    prepared = known.select(y.alias("y"), *values, *members)
+    long = prepared.select(*flat, *[f"m{r}" for r in runs]).select(
         "y", *[f"m{r}" for r in runs], F.stack(F.lit(label + 1), *cells).alias("position", "xi", "xs")
     )
     table = long.groupBy("position", "xi", "xs", "y").agg(*[F.sum(f"m{r}").alias(f"n{r}") for r in runs])
@@ -189,7 +186,7 @@ def _target_key(name: str, family: str, classify: bool, edges: Sequence[float])
     if classify:
         return H.text_key(C.ref(name).cast("string"))
     value = C.micros(C.ref(name)).cast("double") if family == C.DATETIME else C.as_double(name)
-    return _binned(value, edges)
+    return bin_number(value, edges)
 
 
 def mutual_information(df: DataFrame, target: str, bins: int = BINS) -> DataFrame:
