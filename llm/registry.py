@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.shipping import shipped
 
-MODULES = ("op2", "op9", "op10")
+MODULES = ("op1", "op2", "op5", "op9", "op10")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
