@@ -3,13 +3,14 @@
 Headers alone are shuffled by payload digest: the smallest id of each digest becomes a ``response``,
 every other record with that digest a ``revisit`` that refers to it. The archive is written by Spark's
 own text writer (payloads are UTF-8, so a record is text), whose commit protocol leaves no halves of lost
-or repeated tasks, in any store Spark reaches. Reading takes each archive file as bytes and cuts it by
+or repeated tasks, in any store Spark reaches. Files are gzipped. Reading takes each as bytes and cuts it by
 Content-Length, so nothing in a payload can be mistaken for a record.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -81,7 +82,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     size = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
     rows_per_file = max(1, int(ARCHIVE_BYTES // (size + 600)))
     marked = mark_revisits(pages, min_bytes)
-    marked.select(record(marked)).write.option("lineSep", "\r\n").option("maxRecordsPerFile", rows_per_file).text(path)
+    marked.select(record(marked)).write.option("lineSep", "\r\n").option("maxRecordsPerFile", rows_per_file).option("compression", "gzip").text(path)
 
 
 def records_in(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -113,7 +114,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
-                for fields, block in records_in(content.as_py()):
+                for fields, block in records_in(gzip.decompress(content.as_py())):
                     head = bytes(block[:200]).split(b"\r\n\r\n", 1)[0]
                     body = block[len(head) + 4 :]
                     length = int(head.rsplit(b"Content-Length: ", 1)[1])
