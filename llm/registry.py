@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.shipping import shipped
 
-MODULES = ("op1", "op2", "op3", "op5", "op6", "op7", "op8", "op9", "op10")
+MODULES = ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {}
+    import corpus_pipeline
+
+    found: dict[str, Query] = {"pipeline": corpus_pipeline.run}
     for name in MODULES:
         found |= importlib.import_module(f"llm.queries.{name}").QUERIES
     return {name: shipped(query) for name, query in found.items()}

@@ -246,7 +246,8 @@ def repeated_ranges(docs: DataFrame, classes: DataFrame, length: int, hot: int =
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT, keep_text: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay.
 
-    ``keep_text`` adds those bytes as ``kept`` (a cut may fall inside a character, so they are binary).
+    ``keep_text`` adds those bytes as ``kept`` (a cut may fall inside a character, so they are binary) and
+    the MD5 of the whole text as ``dg``.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     docs = docs.select(key.alias("rep"), F.coalesce("text", F.lit("")).alias("text")).withColumn("dg", F.md5("text"))
@@ -255,12 +256,12 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT,
     ranges = repeated_ranges(docs, classes.select("dg", "t", "rep"), length, hot)
     known = rows.distinct().join(classes.select("dg", "n"), "dg").join(ranges, "t", "left")
     verdict = known.select("rep", "dg", (F.col("n") > 1).alias("copy"), "ranges")
-    joined = packed(docs, F.col("rep"), F.col("dg")).join(verdict, ["rep", "dg"]).select("rep", "copy", "ranges", "z")
+    joined = packed(docs, F.col("rep"), F.col("dg")).join(verdict, ["rep", "dg"]).select("rep", "copy", "ranges", "dg", "z")
 
     def work(batches):
         for batch in batches:
             out = []
-            for rep, copy, found, z in zip(*(batch.column(c) for c in ("rep", "copy", "ranges", "z"))):
+            for rep, copy, found, dg, z in zip(*(batch.column(c) for c in ("rep", "copy", "ranges", "dg", "z"))):
                 raw = unpack([z])[0]
                 if copy.as_py():
                     starts, ends = np.array([0] * (len(raw) >= length)), np.array([len(raw)] * (len(raw) >= length))
@@ -274,9 +275,9 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT,
                 kept = b"".join([*kept, raw[last:]])
                 doc = rep.as_py()
                 row = (None if doc == LAST else doc, len(raw), len(raw) - len(kept), len(starts), hashlib.sha256(kept).hexdigest())
-                out.append((*row, kept) if keep_text else row)
-            kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_text
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names=names)
+                out.append((*row, kept, dg.as_py()) if keep_text else row)
+            kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary(), pa.string()] * keep_text
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "dg"][: len(kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)], names=names)
 
-    return joined.mapInArrow(work, RESULT + ", kept binary" * keep_text)
+    return joined.mapInArrow(work, RESULT + ", kept binary, dg string" * keep_text)
