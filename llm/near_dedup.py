@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.graph import components
-from llm.texts import LAST, Words, mixed, packed, ranges_hash, slabs, unpack, written
+from llm.texts import LAST, Words, packed, ranges_hash, slabs, unpack, written
 
 SHINGLE = 4
 PERCENT = 80
@@ -33,6 +33,7 @@ OWN = 4
 DEPTH = 3
 LONG = 8
 SPAN = 10
+NEAR = 2
 
 _RANDOM = np.random.default_rng(8)
 _FACTORS = _RANDOM.integers(1, 2**63, TREES * OWN, dtype=np.uint64) | np.uint64(1)
@@ -55,10 +56,16 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return sets
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    out = np.empty(TREES * OWN, ">u4")
-    for k in range(TREES * OWN):
-        out[k] = (mixed(shingles ^ _SHIFTS[k]) * _FACTORS[k] >> np.uint64(32)).min() if len(shingles) else 0
+def minimum_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``TREES * OWN`` minimum hashes for each set; zeros for an empty one."""
+    out = np.zeros((len(sets), TREES * OWN), ">u4")
+    some = [i for i, s in enumerate(sets) if len(s)]
+    if some:
+        values = np.concatenate([sets[i] for i in some])
+        firsts = np.cumsum([0, *(len(sets[i]) for i in some)])[:-1]
+        for k in range(TREES * OWN):
+            h = (values * _FACTORS[k] + _SHIFTS[k]) >> np.uint64(32)
+            out[some, k] = np.minimum.reduceat(h, firsts)
     return out
 
 
@@ -71,7 +78,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 sets = shingle_sets(texts, size)
                 part = batch.slice(first, len(texts))
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                sigs = [signature(s).tobytes() for s in sets]
+                sigs = [row.tobytes() for row in minimum_hashes(sets)]
                 arrays = [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("dg"), *arrays], names=["rep", "dg", "n", "sd", "sig"])
 
@@ -79,7 +86,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def neighbours(rows: list[tuple[int, bytes, int]]) -> list[tuple[int, int, int]]:
-    """(a, b, depth) of rows (tree, sequence, node), sorted, within ``SPAN`` places of each other."""
+    """(a, b, depth) of rows (tree, sequence, node), sorted, within ``SPAN`` places of each other.
+
+    Rows with one and the same sequence form a chain of near neighbours already, so only ``NEAR`` places are
+    paired among them.
+    """
     found = []
     for gap in range(1, SPAN + 1):
         for (t, s, a), (u, r, b) in zip(rows, rows[gap:]):
@@ -87,7 +98,8 @@ def neighbours(rows: list[tuple[int, bytes, int]]) -> list[tuple[int, int, int]]
                 depth = DEPTH
                 while depth < LONG and s[4 * depth : 4 * depth + 4] == r[4 * depth : 4 * depth + 4]:
                     depth += 1
-                found.append((min(a, b), max(a, b), depth))
+                if depth < LONG or gap <= NEAR:
+                    found.append((min(a, b), max(a, b), depth))
     return found
 
 
