@@ -15,8 +15,10 @@ enter the manifest, a Parquet table; what a lost executor left behind is never r
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.bpe import Encoder
+from llm.bpe import LONGEST, Encoder
 from llm.texts import packed, unpack, written
 
 MAGIC = b"IDPLANE1"
 CHUNK = 65_536
 END = 1
+REMEMBERED = 400_000
 NO_ID = -(2**63)
 
 
@@ -138,20 +141,26 @@ class LibraryEncoder(Encoder):
     """Ids by the tokenizers library; words that were seen are not encoded again."""
 
     def __init__(self, text: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         super().__init__(text)
         self.library = Tokenizer.from_str(text)
-
-    def word(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def decode(self, ids: list[int]) -> str:
-        return ""
+        self.short: dict[str, bytes] = {}
+        self.aged: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
-        get, seen = self.young.get, self._seen
-        return np.frombuffer(b"".join([(get(w) or seen(w))[0] for w in self.stretches(text)]), "<u4")
+        words = self.stretches(text)
+        found = list(map(self.short.get, words))
+        if None in found:
+            new = list({w for w, ids in zip(words, found) if ids is None and w not in self.aged})
+            fresh = {w: pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False))}
+            again = {w: self.aged[w] for w, ids in zip(words, found) if ids is None and w not in fresh}
+            found = [ids if ids is not None else fresh[w] if w in fresh else again[w] for w, ids in zip(words, found)]
+            if len(self.short) >= REMEMBERED:
+                self.aged, self.short = self.short, {}
+            self.short.update({w: ids for w, ids in (fresh | again).items() if len(w) <= LONGEST})
+        return np.frombuffer(b"".join(found), "<u4")
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
