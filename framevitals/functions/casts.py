@@ -21,11 +21,14 @@ DATE_FORMATS = (
     "MM/dd/yyyy",
 )
 WHOLE_TOLERANCE = 1e-8
+NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
+WHOLE = r"^[+-]?\d+$"
 
 
 def to_float(value: Column, family: str) -> Column:
     if family == C.STRING:
-        number = F.trim(value).try_cast("double")
+        text = F.trim(value)  # the cast alone would take 1D and 2f for numbers
+        number = F.when(text.rlike(NUMBER), text.try_cast("double"))
     elif family == C.DATETIME:
         number = C.micros(value).cast("double")
     else:
@@ -34,10 +37,14 @@ def to_float(value: Column, family: str) -> Column:
 
 
 def to_int(value: Column, family: str) -> Column:
-    """Rounded half to even, like the nullable integers of data frames."""
+    """Rounded half to even, like the nullable integers of data frames; whole numbers in text stay exact."""
     if family == C.INTEGER:
         return value.cast("bigint")
-    return F.rint(to_float(value, family)).try_cast("bigint")
+    rounded = F.rint(to_float(value, family)).try_cast("bigint")
+    if family != C.STRING:
+        return rounded
+    text = F.trim(value)
+    return F.coalesce(F.when(text.rlike(WHOLE), text.try_cast("bigint")), rounded)
 
 
 def to_bool(value: Column, family: str) -> Column:

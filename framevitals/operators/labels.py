@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framevitals.functions import bands
@@ -19,18 +19,11 @@ def _class_counts(df: DataFrame, target: str) -> DataFrame:
     return C.nan_to_null(df.select(C.ref(name).alias("label"))).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_distribution(df: DataFrame, target: str, max_classes: int = MAX_CLASSES) -> DataFrame:
-    """label, n, share (4 digits), share_pct (1 digit), largest class first; NULL is a class.
-
-    More than ``max_classes`` classes give an empty result: such a column is not a class
-    label. One class over that limit is enough to know, so no more are kept.
-    """
-    everything = Window.partitionBy()
-    some = _class_counts(df, target).orderBy(F.desc("n"), F.asc_nulls_first("label")).limit(max_classes + 1)
-    total, classes = F.sum("n").over(everything), F.count(F.lit(1)).over(everything)
+def class_distribution(df: DataFrame, target: str) -> DataFrame:
+    """label, n, share (4 digits), share_pct (1 digit), largest class first; NULL is a class, and every class has a row."""
+    counts = _class_counts(df, target)
     return (
-        some.select("label", "n", total.alias("total"), classes.alias("classes"))
-        .where(F.col("classes") <= max_classes)
+        counts.select("label", "n", counts.agg(F.sum("n")).scalar().alias("total"))
         .select(
             F.col("label").cast("string").alias("label"),
             "n",
@@ -42,7 +35,10 @@ def class_distribution(df: DataFrame, target: str, max_classes: int = MAX_CLASSE
 
 
 def imbalance(df: DataFrame, target: str, max_classes: int = MAX_CLASSES) -> DataFrame:
-    """One row: target, rows, num_classes, majority/minority ratio, severity, flag, missing ratio."""
+    """One row: target, rows, num_classes, majority/minority ratio, severity, flag, missing ratio.
+
+    Above ``max_classes`` classes ``details`` says so; the numbers hold all the same.
+    """
     stats = _class_counts(df, target).agg(
         F.count(F.lit(1)).alias("classes"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
@@ -50,7 +46,7 @@ def imbalance(df: DataFrame, target: str, max_classes: int = MAX_CLASSES) -> Dat
         F.min("n").alias("smallest"),
         F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("n"))), F.lit(0)).alias("gaps"),
     )
-    usable = (F.col("rows") > 0) & (F.col("classes") <= max_classes)
+    usable = F.col("rows") > 0
     majority = F.col("biggest").cast("double") / F.nullif(F.col("rows").cast("double"), F.lit(0.0))
     severity = F.when(usable, bands.imbalance_severity(majority))
     return stats.select(
@@ -63,7 +59,7 @@ def imbalance(df: DataFrame, target: str, max_classes: int = MAX_CLASSES) -> Dat
         F.coalesce(severity.isin("HIGH", "EXTREME"), F.lit(False)).alias("is_imbalanced"),
         F.when(usable, bands.ratio(F.col("gaps"), F.col("rows"), 4)).alias("missing_ratio"),
         F.when(F.col("rows") == 0, "target column is empty")
-        .when(~usable, "target has too many distinct values")
+        .when(F.col("classes") > max_classes, "target has too many distinct values")
         .alias("details"),
     )
 

@@ -36,6 +36,8 @@ def _dedupe(df: DataFrame, columns=None, subset=None, keep="first", order_by=(),
 def _impute(df: DataFrame, columns=None, method: str | None = "auto", constant_value: Any = 0, **_: Any):
     if not columns:
         raise ValueError("smart_impute needs a column")
+    if len(columns) > 1:
+        raise ValueError("smart_impute takes one column a step")
     return cleaning.impute(df, columns[0], method or "auto", constant_value)
 
 
@@ -43,6 +45,8 @@ def _impute(df: DataFrame, columns=None, method: str | None = "auto", constant_v
 def _cast(df: DataFrame, columns=None, method: str | None = "auto", **_: Any):
     if not columns:
         raise ValueError("cast_schema needs a column")
+    if len(columns) > 1:
+        raise ValueError("cast_schema takes one column a step")
     return cleaning.cast_column(df, columns[0], method or "auto")
 
 

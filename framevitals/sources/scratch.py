@@ -11,11 +11,13 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where none is set (tests), a new temporary one."""
+    """The session's checkpoint folder; only where none is set and all runs in one process, a new temporary one."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="framevitals-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)

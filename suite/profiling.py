@@ -390,11 +390,11 @@ def imbalance_sql(source: str, target: str) -> str:
     t as (select *, hi::double / rows as r, case when hi::double / rows >= 0.95 then 'EXTREME'
           when hi::double / rows >= 0.8 then 'HIGH' when hi::double / rows >= 0.6 then 'MODERATE' else 'LOW' end as sev
           from s)
-    select '{target}' as target, rows, case when classes <= 1000 then classes end as num_classes,
-    case when classes <= 1000 then round(r, 4) end as majority_ratio,
-    case when classes <= 1000 then round(lo::double / rows, 4) end as minority_ratio,
-    case when classes <= 1000 then sev end as severity, classes <= 1000 and sev in ('HIGH', 'EXTREME') as is_imbalanced,
-    case when classes <= 1000 then round(gaps::double / rows, 4) end as missing_ratio,
+    select '{target}' as target, rows, classes as num_classes,
+    round(r, 4) as majority_ratio,
+    round(lo::double / rows, 4) as minority_ratio,
+    sev as severity, sev in ('HIGH', 'EXTREME') as is_imbalanced,
+    round(gaps::double / rows, 4) as missing_ratio,
     case when classes > 1000 then 'target has too many distinct values' end as details from t"""
 
 

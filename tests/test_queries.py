@@ -3,9 +3,10 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from suite import fixtures
 from suite.check import compare, connect
 
-NAMES = list(queries())
+NAMES = list(fixtures.QUERIES)
 WORKERS = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
 CROSS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
@@ -28,7 +29,8 @@ def test_matches_sql(spark, con, sf_dir, name):
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(fixtures.ORACLE) == set(fixtures.QUERIES)
+    assert set(fixtures.QUERIES) <= set(queries()) and set(fixtures.ORACLE) <= set(oracle_sql())
 
 
 def test_entry_runs(spark):
