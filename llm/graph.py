@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while before != (now := _settled(state)):
         before = now
-        both = written(state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
+        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = written(large.where("u <> v").distinct(), "edges")
         joined = large.join(_least(large), "u")

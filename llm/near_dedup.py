@@ -17,6 +17,7 @@ for linking. A document without words is linked with nothing; a NULL id stands a
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,14 @@ OWN = 4
 DEPTH = 3
 LONG = 8
 SPAN = 10
-NEAR = 2
+NEAR = 1
+MIXES = 4
 
 _RANDOM = np.random.default_rng(8)
 _FACTORS = _RANDOM.integers(1, 2**63, TREES * OWN, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 2**63, TREES * OWN, dtype=np.uint64)
-_ORDERS = [np.concatenate((np.arange(t * OWN, (t + 1) * OWN), (np.arange(OWN, LONG) + t * OWN) % (TREES * OWN))) for t in range(TREES)]
+_TIES = [(m * (MIXES + 1) * OWN + LONG + np.arange(OWN)) % (TREES * OWN) for m in range(MIXES)]
+_ORDERS = [np.concatenate(((np.arange(LONG) + t * OWN) % (TREES * OWN), _TIES[t % MIXES])) for t in range(TREES)]
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -88,17 +91,21 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 def neighbours(rows: list[tuple[int, bytes, int]]) -> list[tuple[int, int, int]]:
     """(a, b, depth) of rows (tree, sequence, node), sorted, within ``SPAN`` places of each other.
 
-    Rows with one and the same sequence form a chain of near neighbours already, so only ``NEAR`` places are
-    paired among them.
+    A run of rows with one and the same sequence is paired in full up to ``SPAN`` rows; in a longer one only ``NEAR`` places
+    are. Its rows are in order of ``OWN`` further values, which trees share in ``MIXES`` ways: like rows stay together, and a
+    run gives a few pairs a member over all trees.
     """
-    found = []
+    found, run = [], []
+    for _, same in groupby(rows, lambda row: (row[0], row[1][: 4 * LONG])):
+        size = sum(1 for _ in same)
+        run += [size] * size
     for gap in range(1, SPAN + 1):
-        for (t, s, a), (u, r, b) in zip(rows, rows[gap:]):
+        for (t, s, a), (u, r, b), size in zip(rows, rows[gap:], run):
             if t == u and a != b and s[: 4 * DEPTH] == r[: 4 * DEPTH]:
                 depth = DEPTH
                 while depth < LONG and s[4 * depth : 4 * depth + 4] == r[4 * depth : 4 * depth + 4]:
                     depth += 1
-                if depth < LONG or gap <= NEAR:
+                if depth < LONG or size <= SPAN or gap <= NEAR:
                     found.append((min(a, b), max(a, b), depth))
     return found
 
@@ -182,9 +189,13 @@ def near_links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         rest = rest.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = written(confirmed(rest, texts, size, percent), "links")
-    return components(links.unionByName(more))
+    rest = rest.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca != cb")
+    rest = written(rest, "rest")
+    between = confirmed(rest.select("a", "b"), texts, size, percent).join(rest, ["a", "b"])
+    joint = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    onto = joint.select(F.col("node").alias("component"), F.col("component").alias("joint"))
+    inner = parts.join(onto, "component", "left").select("node", F.coalesce("joint", "component").alias("component"))
+    return inner.unionByName(joint.join(parts, "node", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
