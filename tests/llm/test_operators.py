@@ -74,6 +74,27 @@ def test_near_components(table):
     assert got == want
 
 
+def test_near_pairs_among_boilerplate(table):
+    """Every text shares most of its words with all others, at under 0.8; some have one partner at over 0.8."""
+    from llm.near_dedup import near_duplicates
+
+    r, docs, partner = random.Random(5), [], {}
+    common, made = [f"c{k}" for k in range(203)], iter(range(10**6))
+    fresh = lambda n: [f"u{next(made)}" for _ in range(n)]
+    for i in range(3000):
+        own = fresh(33)
+        docs.append((i, " ".join(common + own)))
+        if i % 10 == 0:
+            partner[10_000 + i] = i
+            docs.append((10_000 + i, " ".join(common + own[:11] + fresh(22))))
+    r.shuffle(docs)
+    a, b = (set(zip(*(x[k:] for k in range(4)))) for x in (dict(docs)[0].split(), dict(docs)[10_000].split()))
+    c = set(zip(*((dict(docs)[1].split())[k:] for k in range(4))))
+    assert len(a & b) >= 0.8 * len(a | b) and len(a & c) < 0.8 * len(a | c) > 0 and len(b & c) < 0.8 * len(b | c)
+    got = {x.doc_id: x.component_id for x in near_duplicates(table(docs)).collect()}
+    assert got == {i: partner.get(i, i) for i, _ in docs}
+
+
 def test_bpe_matches_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
