@@ -1,14 +1,15 @@
 """Documents that repeat benchmark items, also with words replaced: spaced seeds.
 
 A mask looks at some of the words of a stretch and ignores the others, so a replaced word under a gap changes
-nothing. Words are lower-cased runs of letters and digits (ASCII punctuation separates). All masks at all
+nothing. ``MASKS`` has a set for each length of window, such that whichever words of a window are replaced, as long as
+``SHARE`` percent stay, a mask fits between them; only the sets of lengths that the benchmark has are used. Words are lower-cased runs of letters and digits (ASCII punctuation separates). All masks at all
 places of the benchmark and of the documents are hashed; documents test their hashes against a bitmap of
 fixed size first, and only hits travel, joined into regions with the words around them. Hits meet the benchmark's hashes in
 a join; each diagonal (item, region, shift) is then verified: a document is contaminated if on ``WINDOW`` aligned words
 (fewer if the item is shorter) at least ``SHARE`` percent are equal.
 
 The bitmap has 2^26 bits whatever the benchmark; a larger benchmark makes it let more through, never less.
-Items under ``LEAST`` words name nothing and are passed over. NULL or empty texts are clean. A NULL item id
+Items of fewer than 5 words have to occur as they are, since one replaced word leaves less than the share; items without a word are passed over. NULL or empty texts are clean. A NULL item id
 counts as an item; rows that repeat are each judged.
 """
 
@@ -21,10 +22,23 @@ from pyspark.sql import functions as F
 
 from llm.texts import Words, mixed, slabs, written
 
-MASKS = ("1111111", "11011011011", "1110010111", "1011011101")
 WINDOW = 12
 SHARE = 80
-LEAST = 7
+#: By the words of a window: items shorter than ``WINDOW`` are a window of their own.
+MASKS = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("1111",),
+    5: ("10111", "11011", "1111", "11101"),
+    6: ("111011", "111101", "101111", "11111", "110111"),
+    7: ("1110011", "1001111", "111101"),
+    8: ("10111011", "1101111", "11110101"),
+    9: ("111101101", "11011111", "11111011", "10111111"),
+    10: ("110111", "1100001011", "11100011"),
+    11: ("1111011", "110001111", "1101100011"),
+    12: ("11111011", "11100101011", "110101111", "11011000111"),
+}
 AROUND = 48
 BITS = 26
 
@@ -32,13 +46,13 @@ _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 _FACTORS = np.random.default_rng(4).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
-def seeds(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each mask the places where it fits into one text, and its hash there."""
+def seeds(words: Words, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each mask of a window the places where it fits into one text, and its hash there."""
     h, found = words.hash[0], []
     last = np.repeat(words.first[1:], np.diff(words.first))
-    for m, mask in enumerate(MASKS):
+    for m, mask in enumerate(MASKS[window]):
         at = np.flatnonzero(np.arange(len(h)) + len(mask) <= last)
-        total = np.full(len(at), m + 1, np.uint64)
+        total = np.full(len(at), 16 * window + m, np.uint64)
         for offset, looked in enumerate(mask):
             if looked == "1":
                 total += h[at + offset] * _FACTORS[offset]
@@ -65,21 +79,24 @@ def item_words(items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("item"), part.column("item_id"), pa.array(rows, pa.binary())], names=["item", "item_id", "words"])
 
     source = items.select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    return source.mapInArrow(work, "item long, item_id long, words binary").where(F.octet_length("words") >= 8 * LEAST)
+    return source.mapInArrow(work, "item long, item_id long, words binary").where(F.octet_length("words") > 0)
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """(h, item, place) of every mask at every place of every item."""
+    """(h, item, place, size) of every mask of an item's window (``size`` words) at every place of the item."""
 
     def work(batches):
         for batch in batches:
             for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
-                for at, h in seeds(cleaned([(text or "").encode()])):
-                    arrays = [pa.array(h.view(np.int64)), pa.array(np.full(len(at), item)), pa.array(at.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["h", "item", "place"])
+                words = cleaned([(text or "").encode()])
+                size = min(WINDOW, len(words.starts))
+                for at, h in seeds(words, size) if size else ():
+                    n = len(at)
+                    arrays = [pa.array(h.view(np.int64)), pa.array(np.full(n, item)), pa.array(at.astype(np.int32)), pa.array(np.full(n, size, np.int32))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["h", "item", "place", "size"])
 
     source = items.select(F.xxhash64("item_id", F.col("text")).alias("item"), "text").distinct()
-    return source.mapInArrow(work, "h long, item long, place int")
+    return source.mapInArrow(work, "h long, item long, place int, size int")
 
 
 def bitmap(found: DataFrame) -> np.ndarray:
@@ -92,8 +109,15 @@ def bitmap(found: DataFrame) -> np.ndarray:
     return words
 
 
-def regions(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Stretches of documents around hits: (doc_id, t, start, words, hits)."""
+def regions(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
+    """Stretches of documents around hits of the masks of ``sizes``: (doc_id, t, start, words, hits)."""
+
+    def firsts(words, at, h):
+        """Without the later places of a hash in a text: of an item that has to occur as it is, one place will do."""
+        owner = np.searchsorted(words.first, at, side="right") - 1
+        order = np.lexsort((at, h, owner))
+        new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])))
+        return at[order[new]], h[order[new]]
 
     def has(h):
         out = np.ones(len(h), bool)
@@ -107,13 +131,17 @@ def regions(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             for first, texts in slabs(batch.column("text")):
                 words = cleaned(texts)
                 places, hashes = [], []
-                for at, h in seeds(words):
-                    hit = has(h)
-                    places.append(at[hit])
-                    hashes.append(h[hit])
-                place, h = np.concatenate(places), np.concatenate(hashes).view(np.int64)
-                if not len(place):
+                for size in sizes:
+                    for at, h in seeds(words, size):
+                        hit = has(h)
+                        at, h = at[hit], h[hit]
+                        if size == len(MASKS[size][0]) == MASKS[size][0].count("1") and len(at):
+                            at, h = firsts(words, at, h)
+                        places.append(at)
+                        hashes.append(h)
+                if not sum(map(len, places)):
                     continue
+                place, h = np.concatenate(places), np.concatenate(hashes).view(np.int64)
                 order = np.argsort(place, kind="stable")
                 place, h = place[order], h[order]
                 owner = np.searchsorted(words.first, place, side="right") - 1
@@ -154,9 +182,10 @@ def verified(pairs: DataFrame) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, t, item_id, equal, window) of each document's overlap with each benchmark item that reaches ``SHARE``; t is its text's hash."""
     tests = written(item_seeds(benchmark), "seeds")
-    found = written(regions(docs, bitmap(tests)), "regions")
+    sizes = sorted(r["size"] for r in tests.select("size").distinct().collect())
+    found = written(regions(docs, bitmap(tests), sizes), "regions")
     hits = found.select("doc_id", "t", "start", F.explode("hits").alias("hit")).select("doc_id", "t", "start", "hit.*")
-    met = hits.join(tests.withColumnRenamed("place", "there"), "h")
+    met = hits.join(tests.select("h", "item", F.col("place").alias("there")), "h")
     shifts = met.select("doc_id", "t", "start", "item", (F.col("place") - F.col("there")).alias("shift")).distinct()
     placed = _with_words(shifts, found)
     items = item_words(benchmark).select("item", "item_id", F.col("words").alias("item_words"))

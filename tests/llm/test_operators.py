@@ -172,6 +172,33 @@ def test_spaced_seeds_tolerate_replaced_words(table, spark):
     assert got == sorted([("1", True, 9), ("2", False, 0), ("3", False, 0), ("4", True, 9), ("4", False, 0), ("None", True, 9)])
 
 
+def test_masks_fit_between_all_accepted_replacements():
+    from itertools import combinations
+
+    from llm.decontamination import MASKS, SHARE, WINDOW
+
+    for size in range(1, WINDOW + 1):
+        ones = [{i + at for i, c in enumerate(m) if c == "1"} for m in MASKS[size] for at in range(size - len(m) + 1)]
+        for k in range(size * (100 - SHARE) // 100 + 1):
+            assert all(any(not looked & set(gone) for looked in ones) for gone in combinations(range(size), k))
+
+
+def test_every_fifth_word_and_short_items(table, spark):
+    from llm.decontamination import contamination
+
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    items = {i: [r.choice(words) for _ in range(n)] for i, n in enumerate((1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 100), 1)}
+    around = [f"z{k}" for k in range(100)]
+    docs = [(i, " ".join(around + item + around)) for i, item in items.items()]
+    docs += [(100 + i, " ".join(item)) for i, item in items.items()]
+    docs += [(200 + i, " ".join(w if k % 5 != 2 else "other" for k, w in enumerate(item))) for i, item in items.items() if len(item) in (5, 6, 7, 10, 11, 12, 15, 100)]
+    docs += [(300, " ".join(items[4][:2] + ["other"] + items[4][3:])), (301, " ".join(around))]
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in items.items()], "item_id long, text string")
+    got = {x.doc_id: x.item_id for x in contamination(table(docs), bench).collect()}
+    assert got == {d: None if d >= 300 else d % 100 for d, _ in docs}
+
+
 def test_languages_held_out(spark, sf_dir):
     from llm.queries.op1 import language
 
