@@ -8,8 +8,8 @@ strings; the run's bytes are its fragment.
 1. Anchors whose next ``lead`` bytes (a part of every string of the run) occur once drop out.
 2. Fragments that are equal byte for byte are counted before anything is sorted: they repeat as a whole, and one of
    them stands for all. So copies and near copies, however many, send one suffix.
-3. Spark samples splitters and deals the suffixes by ranges of their leading bytes. Suffixes with
-   equal leading bytes stay in one bucket, so two buckets never share a string: comparing across a
+3. Spark samples splitters and deals the suffixes by ranges of their leads, the same bytes as in 1. Suffixes with
+   equal leads stay in one bucket, so two buckets never share a string: comparing across a
    boundary could only show what the splitters guarantee. Leads with more than ``HOT`` different fragments are split over all
    tasks instead and compared across them by digests of their strings.
 4. A bucket sorts its suffixes by multikey quicksort (8 bytes a key). At each depth where classes of equal
@@ -181,6 +181,12 @@ def matches(parts: list[bytes], low: np.ndarray, high: np.ndarray, length: int)
     return found
 
 
+def dealt(groups: DataFrame, length: int, n: int) -> DataFrame:
+    """``groups`` by ranges of the whole lead: a bucket cannot be split below one lead, and ``HOT`` bounds the fragments of a lead."""
+    lead = F.substring("z", F.col("high") + 1, F.lit(length - spread_of(length) + 1))
+    return groups.repartitionByRange(n, lead)
+
+
 def bucket_matches(groups: DataFrame, length: int, n: int) -> DataFrame:
     """(x, back, ahead) found in buckets of suffixes with neighbouring leading bytes."""
 
@@ -197,9 +203,7 @@ def bucket_matches(groups: DataFrame, length: int, n: int) -> DataFrame:
             arrays = [pa.array([x[r] for r in rows], pa.binary()), pa.array(back, pa.int32()), pa.array(ahead, pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, names=["x", "back", "ahead"])
 
-    lead = min(64, length - spread_of(length) + 1)
-    dealt = groups.withColumn("lead", F.substring("z", F.col("high") + 1, F.lit(lead))).repartitionByRange(n, "lead")
-    return dealt.select("x", "z", "low", "high").mapInArrow(work, "x binary, back int, ahead int")
+    return dealt(groups.select("x", "z", "low", "high"), length, n).mapInArrow(work, "x binary, back int, ahead int")
 
 
 def hot_matches(groups: DataFrame, length: int) -> DataFrame:

@@ -47,6 +47,21 @@ def test_byte_strings(table, length, hot):
     assert got == sorted((str(i), *want[i, t]) for i, t in docs)
 
 
+def test_buckets_of_a_shared_header(spark):
+    """Fragments with different leads do not all land in one bucket because their first 100 bytes are equal."""
+    from pyspark.sql import functions as F
+
+    from llm.suffix_dedup import dealt
+
+    header = b"h" * 100
+    rows = [(k.to_bytes(4, "big"), header + b"%06d" % (k // 2) * 50, 0, 0) for k in range(4000)]
+    groups = spark.createDataFrame(rows, "x binary, z binary, low int, high int")
+    buckets = dealt(groups, 400, 20).withColumn("bucket", F.spark_partition_id())
+    sizes = [r["count"] for r in buckets.groupBy("bucket").count().collect()]
+    assert max(sizes) < 1000
+    assert buckets.groupBy("z").agg(F.count_distinct("bucket").alias("n")).where("n > 1").count() == 0
+
+
 def test_multikey_quicksort():
     from llm.suffix_dedup import multikey_quicksort
 
