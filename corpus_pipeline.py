@@ -19,6 +19,8 @@ from llm.suffix_dedup import remove_repeated_bytes
 from llm.texts import BLANKS, documents, written
 
 TOKENIZER = "word_bpe_49k.json"
+#: Words of a shingle in the near-duplicate stage; op8 alone is bound to four.
+SHINGLE = 5
 
 
 @shipped
@@ -32,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each component; repeated rows of it count once. Rows without an id stay."""
-    verdict = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    verdict = near_duplicates(docs, size=SHINGLE).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
     known = docs.join(verdict, F.col("doc_id") == F.col("__id"), "left_semi")
     once = known.withColumn("__dg", F.md5("text")).dropDuplicates(["doc_id", "__dg"]).drop("__dg")
     return once.unionByName(docs.where("doc_id is null"))

@@ -270,6 +270,15 @@ def test_quality_base(spark, table):
     assert got[1].base_failed and got[2].base_failed and not got[2].kept
 
 
+def test_pipeline_near_copies_on_five_words(spark, table):
+    """One of 39 words replaced: 32 of 40 shingles of four words are shared, 30 of 40 of five."""
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(39)]
+    docs = table([(1, " ".join(words)), (2, " ".join([*words[:19], "other", *words[20:]])), (3, " ".join(words))])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 2]
+
+
 def test_pipeline_keeps_columns(spark, sf_dir):
     import corpus_pipeline
 
