@@ -88,7 +88,8 @@ class Model:
             sequence = []
             for part in text.split("\0"):
                 sequence += [*symbols(part, self.classes).tolist(), BREAK]
-            nexts = automaton(sequence[:SAMPLE_SYMBOLS])
+            sequence = sequence[:SAMPLE_SYMBOLS]
+            nexts = automaton(sequence)
             start = np.zeros(width, np.int32)
             start[list(nexts[0])] = list(nexts[0].values())
             table = np.tile((start + base) * 2 + 1, (len(nexts), 1)).astype(np.int32)

@@ -222,6 +222,14 @@ def test_languages_held_out(spark, sf_dir):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
 
 
+def test_language_weight_is_of_the_cut_sample():
+    from llm.language_id import SAMPLE_SYMBOLS, Model
+
+    long, twice = "ab " * SAMPLE_SYMBOLS, "cd " * (2 * SAMPLE_SYMBOLS)
+    weights = Model((("a", long), ("b", twice))).weights
+    assert weights == [np.log2(SAMPLE_SYMBOLS + 1)] * 2
+
+
 def test_language_of_odd_texts(table):
     from llm.language_id import predict_languages
 
