@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.shipping import shipped
 
-MODULES = ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12")
+MODULES = ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "op13")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
