@@ -268,5 +268,5 @@ def align(docs: DataFrame, byte_level: str, pieces: bytes, pattern: str, slab: i
     # one row for each id of B's vocabulary at most
     highest = counts.groupBy(other).agg(F.max("n").alias("most"))
     marked = counts.withColumn("b", other).join(F.broadcast(highest), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    answers = partial.select("slab", "pair").join(marked, "pair")
-    return slabs.select("slab", "docs", "units").groupBy("slab").cogroup(answers.groupBy("slab")).applyInArrow(finish, FIELDS)
+    answers = partial.select(F.col("slab").alias("asked"), "pair").join(marked, "pair")
+    return slabs.select("slab", "docs", "units").groupBy("slab").cogroup(answers.groupBy("asked")).applyInArrow(finish, FIELDS)
