@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from struct import pack
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.bpe import LONGEST, Encoder
-from llm.texts import packed, unpack, written
+from llm.texts import packed, unpacked_slabs, written
 
 MAGIC = b"IDPLANE1"
 CHUNK = 65_536
 END = 1
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 NO_ID = -(2**63)
 
 
@@ -137,8 +138,16 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
+#: Characters for which the splitting pattern, lower case and NFC could differ between libraries or Unicode versions.
+OTHER = re.compile("[^\\x00-\u024f]|\u0130")
+
+
 class LibraryEncoder(Encoder):
-    """Ids by the tokenizers library; words that were seen are not encoded again."""
+    """Ids by the tokenizers library; words and pieces that were seen are not encoded again.
+
+    The library takes the unseen pieces of some texts in one call, joined by spaces; each piece ends at the one id with the end-of-word
+    suffix. Words with other than Latin characters go to it whole.
+    """
 
     def __init__(self, text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -146,21 +155,57 @@ class LibraryEncoder(Encoder):
 
         super().__init__(text)
         self.library = Tokenizer.from_str(text)
+        self.closing = np.array([s.endswith(self.suffix) for s in self.strings]) if self.suffix else None
         self.short: dict[str, bytes] = {}
         self.aged: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        words = self.stretches(text)
-        found = list(map(self.short.get, words))
-        if None in found:
-            new = list({w for w, ids in zip(words, found) if ids is None and w not in self.aged})
-            fresh = {w: pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False))}
-            again = {w: self.aged[w] for w, ids in zip(words, found) if ids is None and w not in fresh}
-            found = [ids if ids is not None else fresh[w] if w in fresh else again[w] for w, ids in zip(words, found)]
-            if len(self.short) >= REMEMBERED:
-                self.aged, self.short = self.short, {}
-            self.short.update({w: ids for w, ids in (fresh | again).items() if len(w) <= LONGEST})
-        return np.frombuffer(b"".join(found), "<u4")
+        self.pieced: dict[str, bytes] = {}
+
+    def whole(self, words: list[str]) -> dict[str, bytes]:
+        found = self.library.encode_batch_fast(words, add_special_tokens=False) if words else []
+        return {w: pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(words, found)}
+
+    def split(self, word: str) -> list[str]:
+        """The pieces of a word of Latin characters."""
+        low = word.lower()
+        if low.isalpha():
+            return [low]
+        if low[-1] in ",.;:!?" and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return self.pieces.findall(low)
+
+    def unseen(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that are not remembered."""
+        if self.closing is None:
+            return self.whole(words)
+        split = {w: self.split(w) for w in words if OTHER.search(w) is None and w not in self.special}
+        new = list({p for pieces in split.values() for p in pieces} - self.pieced.keys())
+        if new:
+            ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != len(new):
+                return self.whole(words)
+            raw, at = ids.tobytes(), (4 * ends).tolist()
+            self.pieced.update(zip(new, (raw[i:j] for i, j in zip([0, *at], at))))
+        known = self.pieced.__getitem__
+        found = {w: b"".join(map(known, pieces)) for w, pieces in split.items()}
+        if len(self.pieced) > REMEMBERED:
+            self.pieced = {}
+        return found | self.whole([w for w in words if w not in split])
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        split = list(map(self.stretches, texts))
+        missing = set().union(*split) - self.short.keys()
+        again = {w: self.aged[w] for w in missing & self.aged.keys()}
+        self.short |= again | self.unseen(list(missing - again.keys()))
+        known = self.short.__getitem__
+        found = [np.frombuffer(b"".join(map(known, words)), "<u4") for words in split]
+        for w in missing:
+            if len(w) > LONGEST:
+                del self.short[w]
+        if len(self.short) >= REMEMBERED:
+            self.aged, self.short = self.short, {}
+        return found
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -194,12 +239,13 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, planes: str = "bi
         name = f"{root}/shard-{uuid.uuid4().hex}.idp"
         code, writer, out, low = library_encoder(tokenizer), None, None, None
         for batch in batches:
-            for doc_id, z in zip(batch.column("doc_id").to_pylist(), batch.column("z")):
+            ids = batch.column("doc_id").to_pylist()
+            for first, texts in unpacked_slabs(batch.column("z")):
                 if writer is None:
-                    out, low = files.open_output_stream(name), doc_id
+                    out, low = files.open_output_stream(name), ids[first]
                     writer = ShardWriter(out, planes)
-                text = unpack([z])[0].decode()
-                writer.add(doc_id, np.append(code.ids(text), np.uint32(END)))
+                for doc_id, found in zip(ids[first : first + len(texts)], code.ids([t.decode() for t in texts])):
+                    writer.add(doc_id, np.append(found, np.uint32(END)))
         if writer is not None:
             writer.close()
             out.close()
