@@ -14,7 +14,7 @@ faster library, with ranks taken from A's own file; the others by the tokenizers
    count of each B id, and sends each slab the counts of its own pairs.
 
 A slab is one row: its documents as unit numbers, its units as pair numbers, and its pairs. It holds at most ``slab``
-bytes of text or one longer text, and reaches the second step through a stored table, so a text is encoded once.
+characters of text or one longer text, and reaches the second step through a stored table, so a text is encoded once.
 
 NULL and empty texts, and texts whose joined B bytes differ from a space and the text, have no tokens: zeros and ''. Repeated
 rows count as often as they occur; a NULL id stays NULL; ties of the highest count are all best; extra columns are
@@ -38,9 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.bpe import byte_symbols
-from llm.texts import written
+from llm.texts import frugal, release, written
 
-SLAB = 24 << 20
+SLAB = 6 << 20
 #: A single space between two characters that no definition counts as white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 RUN = re.compile(r"\s\s")
@@ -233,7 +233,7 @@ def slab_counts(docs: bytes, units: bytes, known: pa.Table) -> pa.Table:
 
 
 def _slabs(batches, pair: Pair, slab: int):
-    """(ids, texts) of consecutive documents, up to ``slab`` bytes."""
+    """(ids, texts) of consecutive documents, up to ``slab`` characters."""
     ids, texts, size = [], [], 0
     for batch in batches:
         for i, t in zip(batch.column("doc_id"), batch.column("text")):
@@ -251,12 +251,15 @@ def _slabs(batches, pair: Pair, slab: int):
 def align(docs: DataFrame, byte_level: str, pieces: bytes, pattern: str, slab: int = SLAB) -> DataFrame:
     """``FIELDS`` of each row of ``docs`` (doc_id, text). ``byte_level``: tokenizer file A, which splits by ``pattern``; ``pieces``: model file B."""
 
+    @frugal
     def encode(batches):
         pair = tokenizers(byte_level, pieces, pattern)
         for ids, texts in _slabs(batches, pair, slab):
             row = (uuid.uuid4().hex, *slab_row(ids, texts, pair))
             kinds = (pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[f.split()[0] for f in ROWS.split(", ")])
+            del row
+            release()
 
     def finish(_, own: pa.Table, known: pa.Table) -> pa.Table:
         return slab_counts(own["docs"][0].as_py(), own["units"][0].as_py(), known)

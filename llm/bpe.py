@@ -18,7 +18,7 @@ from struct import pack
 
 import regex
 
-GENERATION = 300_000
+GENERATION = 150_000
 LONGEST = 48
 #: White space as the tokenizer's patterns see it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -51,6 +51,10 @@ class Encoder:
         self.pieces = regex.compile(pattern.replace(r"\s", SPACE))
         self.marks = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or "(?!)")
         self.blank = regex.compile(r"[\x20\x09-\x0D]+")
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was remembered of earlier texts."""
         self.known: dict[str, list[int]] = {}
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from llm.bpe import encoder
+from llm.texts import frugal
 
 SCHEMA = "n_tokens long, ids binary, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -23,8 +24,15 @@ def encode_texts(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_
     """``keep`` with n_tokens, ids (little-endian unsigned 32-bit) and the decoded text of each row's ``text``."""
     source = docs.select(*keep, "text")
 
+    @frugal
     def work(batches):
         code = encoder(tokenizer)
+        try:
+            yield from coded(code, batches)
+        finally:
+            code.forget()
+
+    def coded(code, batches):
         for batch in batches:
             step = 256
             for at in range(0, len(batch), step):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.texts import Words, mixed, slabs, written
+from llm.texts import Words, frugal, mixed, slabs, written
 
 WINDOW = 12
 SHARE = 80
@@ -71,6 +71,7 @@ def cleaned(texts: list[bytes]) -> Words:
 def item_words(items: DataFrame) -> DataFrame:
     """item (a number of its own text), item_id and its words as 64-bit hashes."""
 
+    @frugal
     def work(batches):
         for batch in batches:
             for first, texts in slabs(batch.column("text")):
@@ -85,6 +86,7 @@ def item_words(items: DataFrame) -> DataFrame:
 def item_seeds(items: DataFrame) -> DataFrame:
     """(h, item, place, size) of every mask of an item's window (``size`` words) at every place of the item."""
 
+    @frugal
     def work(batches):
         for batch in batches:
             for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
@@ -125,6 +127,7 @@ def regions(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
             out &= (bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
         return out
 
+    @frugal
     def work(batches):
         for batch in batches:
             ids, ts = batch.column("doc_id").to_pylist(), batch.column("t").to_pylist()
@@ -163,6 +166,7 @@ def regions(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
 def verified(pairs: DataFrame) -> DataFrame:
     """Overlaps of item and region words at a shift: equal words of the best window, and the window."""
 
+    @frugal
     def work(batches):
         for batch in batches:
             out = []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.samples import labelled_sample
-from llm.texts import SLAB, learns
+from llm.texts import SLAB, frugal, learns
 
 #: Bounds of the labelled sample: texts a language, characters of a text, symbols of a language's automaton.
 SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 80, 800, 24_576
@@ -158,12 +158,15 @@ def learn(docs: DataFrame) -> tuple[tuple[str, str], ...]:
 
 def predict_languages(docs: DataFrame, samples: tuple[tuple[str, str], ...], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` with lang_pred and score; the text alone decides."""
-    source = docs.select(*keep, F.col("text").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    source = docs.select(*(c for c in keep if c != "text"), "text")  # the text once, also where it is kept
+    n = len(keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n])
+    names = [*source.columns[:n], "lang_pred", "score"]
 
+    @frugal
     def work(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             found, held, size = [], [], 0
             for text in [*texts, None]:
                 if text is not None:
@@ -174,6 +177,6 @@ def predict_languages(docs: DataFrame, samples: tuple[tuple[str, str], ...], kee
                     held, size = [], 0
             languages, scores = zip(*found) if found else ((), ())
             arrays = [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], names=names)
 
     return source.mapInArrow(work, f"{fields}, lang_pred string, score double")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.graph import components
-from llm.texts import LAST, Words, packed, ranges_hash, slabs, unpack, written
+from llm.texts import LAST, Words, frugal, packed, ranges_hash, slabs, unpack, written
 
 SHINGLE = 4
 PERCENT = 80
@@ -82,6 +82,7 @@ def minimum_hashes(sets: list[np.ndarray]) -> np.ndarray:
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """rep, dg, n (set size), sd (digest of the set) and sig of each row of ``docs`` (rep, dg, text)."""
 
+    @frugal
     def work(batches):
         for batch in batches:
             for first, texts in slabs(batch.column("text")):
@@ -194,6 +195,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     first = pairs.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
     both = first.join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
 
+    @frugal
     def work(batches):
         for batch in batches:
             for at in range(0, len(batch), 200):
@@ -211,6 +213,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 def frequencies(texts: DataFrame, size: int) -> np.ndarray:
     """How many shingles of ``texts`` (z) have each leading ``RARE_BITS`` bits: a bounded table, whatever the corpus."""
 
+    @frugal
     def work(batches):
         counts = np.zeros(1 << RARE_BITS, np.int64)
         for batch in batches:
@@ -235,6 +238,7 @@ def crowded_pairs(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """
     counts = frequencies(texts, size)
 
+    @frugal
     def work(batches):
         for batch in batches:
             for at in range(0, len(batch), 200):

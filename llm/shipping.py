@@ -30,12 +30,18 @@ def ship(spark: SparkSession) -> None:
     _DONE.add(context.applicationId)
 
 
+#: Bytes of an Arrow batch, unless the session says otherwise: texts may be long, and rows alone do not bound a batch.
+BATCH = 8 << 20
+
+
 def shipped(query):
-    """``query(spark, ...)`` with the code shipped first."""
+    """``query(spark, ...)`` with the code shipped first, and Arrow batches bounded by bytes."""
 
     @wraps(query)
     def run(spark, *args):
         ship(spark)
+        if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
         return query(spark, *args)
 
     return run

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.texts import LAST, merged, packed, slabs, sliding_min, unpack, written
+from llm.texts import LAST, frugal, merged, packed, slabs, sliding_min, unpack, written
 
 LENGTH = 400
 GRAM = 8
@@ -78,6 +78,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
     """h: digest of the ``lead`` bytes from the anchor on; t: hash of its text; twice: h is found again in the text."""
     lead = length - spread_of(length) + 1
 
+    @frugal
     def work(batches):
         for batch in batches:
             ids = batch.column("t").to_numpy()
@@ -102,6 +103,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
 def fragments(texts: DataFrame, length: int) -> DataFrame:
     """The bytes of each anchor's run: (x: their 128-bit digest, h, t, place, low, high, z)."""
 
+    @frugal
     def work(batches):
         for batch in batches:
             for t, places, z in zip(batch.column("t").to_pylist(), batch.column("places"), batch.column("z")):
@@ -190,6 +192,7 @@ def dealt(groups: DataFrame, length: int, n: int) -> DataFrame:
 def bucket_matches(groups: DataFrame, length: int, n: int) -> DataFrame:
     """(x, back, ahead) found in buckets of suffixes with neighbouring leading bytes."""
 
+    @frugal
     def work(batches):
         x, parts, low, high = [], [], [], []
         for batch in batches:
@@ -209,6 +212,7 @@ def bucket_matches(groups: DataFrame, length: int, n: int) -> DataFrame:
 def hot_matches(groups: DataFrame, length: int) -> DataFrame:
     """The same for leads with very many fragments: digests of all strings of each run, spread over all tasks."""
 
+    @frugal
     def work(batches):
         for batch in batches:
             for x, part, low, high in zip(*(batch.column(c).to_pylist() for c in ("x", "z", "low", "high"))):
@@ -262,6 +266,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT,
     verdict = known.select("rep", "dg", (F.col("n") > 1).alias("copy"), "ranges")
     joined = packed(docs, F.col("rep"), F.col("dg")).join(verdict, ["rep", "dg"]).select("rep", "copy", "ranges", "dg", "z")
 
+    @frugal
     def work(batches):
         for batch in batches:
             out = []

@@ -7,8 +7,12 @@ other characters never fall into that range, so bytes and code points give the s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,28 @@ def learns(doc_id: Column, parts: int, held: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts != held, F.lit(True))
 
 
+def release() -> None:
+    """Give back what a finished task no longer needs: workers are used again, and their memory is the executor's."""
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(work):
+    """``work(batches)`` that releases memory when its task ends."""
+
+    @wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 def slabs(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive texts as bytes (NULL as empty), about ``SLAB`` bytes at a time: (first row, texts)."""
     first, held, size = 0, [], 0
@@ -136,6 +162,7 @@ def packed(docs: DataFrame, *keep: Column) -> DataFrame:
     """``keep`` and the text as ``z``, compressed: a shuffle then carries about a third of the bytes."""
     source = docs.select(*keep, F.col("text").alias("z"))
 
+    @frugal
     def work(batches):
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
