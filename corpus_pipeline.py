@@ -26,17 +26,18 @@ SHINGLE = 5
 @shipped
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no language: without text, or without a letter."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    found = predict_languages(rows, learn(docs), keep=("row",))
-    return found.where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    others = F.struct(*(c for c in docs.columns if c != "text"))
+    found = predict_languages(docs.select(others.alias("row"), "text"), learn(docs), keep=("row", "text"))
+    return found.where(F.col("lang_pred") != UNKNOWN).select("row.*", "text").select(*docs.columns)
 
 
 @shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each component; repeated rows of it count once. Rows without an id stay."""
-    verdict = near_duplicates(docs, size=SHINGLE).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    known = docs.join(verdict, F.col("doc_id") == F.col("__id"), "left_semi")
-    once = known.withColumn("__dg", F.md5("text")).dropDuplicates(["doc_id", "__dg"]).drop("__dg")
+    verdict = near_duplicates(docs, size=SHINGLE).where("kept and doc_id is not null").select("doc_id").distinct()
+    known = docs.alias("d").join(verdict.alias("v"), F.col("d.doc_id") == F.col("v.doc_id"), "left_semi")
+    rows = known.select(F.struct("*").alias("row"), "doc_id", F.md5("text").alias("digest"))
+    once = rows.dropDuplicates(["doc_id", "digest"]).select("row.*")
     return once.unionByName(docs.where("doc_id is null"))
 
 
@@ -44,23 +45,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated byte strings out of the texts; what is left of a cut character goes too. Emptied documents go."""
     cut = remove_repeated_bytes(docs, keep_text=True).where("n_removed > 0").dropDuplicates(["doc_id", "dg"])
-    cut = cut.select(F.col("doc_id").alias("__id"), F.col("dg").alias("__dg"), "kept")
-    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.md5("text") == F.col("__dg")), "left")
-    text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    out = joined.withColumn("text", F.when(F.col("__dg").isNotNull(), text).otherwise(F.col("text")))
-    out = out.where(F.col("__dg").isNull() | (F.btrim("text", F.lit(BLANKS)) != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    cut = cut.select(F.col("doc_id").alias("cut_id"), F.col("dg").alias("cut_digest"), "kept")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.md5("text").alias("digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("digest") == F.col("cut_digest"))
+    left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    joined = rows.join(cut, same, "left").withColumn("left", F.when(F.col("cut_digest").isNotNull(), left))
+    joined = joined.where(F.col("left").isNull() | (F.btrim("left", F.lit(BLANKS)) != ""))
+    columns = {c: F.col("row")[c] for c in docs.columns}
+    columns["text"] = F.coalesce("left", columns["text"])
+    if "n_chars" in columns:
+        size = F.length("left").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("left").isNull(), columns["n_chars"]).otherwise(size)
+    return joined.select(*(column.alias(c) for c, column in columns.items()))
 
 
 @shipped
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that overlap with a benchmark item."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
-    bad = found.select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("doc_id").isNull().alias("__none")).distinct()
-    same = (F.coalesce("doc_id", F.lit(-1)) == F.col("__id")) & (F.col("doc_id").isNull() == F.col("__none"))
-    return docs.join(bad, same, "left_anti")
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").distinct()
+    return docs.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_anti")
 
 
 @shipped
