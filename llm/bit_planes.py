@@ -23,18 +23,19 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.bpe import LONGEST, Encoder
-from llm.texts import packed, unpacked_slabs, written
+from llm.texts import frugal, written
 
 MAGIC = b"IDPLANE1"
 CHUNK = 65_536
 END = 1
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 NO_ID = -(2**63)
 
 
@@ -139,13 +140,13 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 #: Characters for which the splitting pattern, lower case and NFC could differ between libraries or Unicode versions.
-OTHER = re.compile("[^\\x00-\u024f]|\u0130")
+OTHER = re.compile("[^\\x00-\u024f]|[\\x85\\xa0\u0130]")
 
 
 class LibraryEncoder(Encoder):
     """Ids by the tokenizers library; words and pieces that were seen are not encoded again.
 
-    The library takes the unseen pieces of some texts in one call, joined by spaces; each piece ends at the one id with the end-of-word
+    Texts are cut at ASCII white space, which parts words in the library too, special tokens or not. The library takes the unseen pieces in one call, joined by spaces; each piece ends at the one id with the end-of-word
     suffix. Words with other than Latin characters go to it whole.
     """
 
@@ -177,7 +178,7 @@ class LibraryEncoder(Encoder):
         """Ids of words that are not remembered."""
         if self.closing is None:
             return self.whole(words)
-        split = {w: self.split(w) for w in words if OTHER.search(w) is None and w not in self.special}
+        split = {w: self.split(w) for w in words if w and OTHER.search(w) is None and self.marks.search(w) is None}
         new = list({p for pieces in split.values() for p in pieces} - self.pieced.keys())
         if new:
             ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
@@ -192,14 +193,12 @@ class LibraryEncoder(Encoder):
             self.pieced = {}
         return found | self.whole([w for w in words if w not in split])
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        split = list(map(self.stretches, texts))
-        missing = set().union(*split) - self.short.keys()
-        again = {w: self.aged[w] for w in missing & self.aged.keys()}
-        self.short |= again | self.unseen(list(missing - again.keys()))
-        known = self.short.__getitem__
-        found = [np.frombuffer(b"".join(map(known, words)), "<u4") for words in split]
+    def remembered(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        missing = [w for w in words if w not in self.short]
+        again = {w: self.aged[w] for w in missing if w in self.aged}
+        self.short |= again | self.unseen([w for w in missing if w not in again])
+        found = list(map(self.short.__getitem__, words))
         for w in missing:
             if len(w) > LONGEST:
                 del self.short[w]
@@ -207,6 +206,18 @@ class LibraryEncoder(Encoder):
             self.aged, self.short = self.short, {}
         return found
 
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin. Each distinct word is looked up once."""
+        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        coded = words.flatten().dictionary_encode()
+        known = pa.array(self.remembered(coded.dictionary.to_pylist()), pa.large_binary())
+        flat = known.take(coded.indices)
+        ends = pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        starts = np.concatenate(([0], np.cumsum(ends)))
+        at = np.concatenate(([0], np.cumsum(pc.list_value_length(words).to_numpy())))
+        raw = flat.buffers()[2]
+        return np.frombuffer(raw, "<u4", starts[-1]) if raw and starts[-1] else np.zeros(0, "<u4"), starts[at]
+
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
@@ -225,27 +236,26 @@ DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, planes: str = "bit") -> DataFrame:
     """Write the shards of ``docs`` (doc_id, text) and return the manifest with each shard's first id.
 
-    Documents are dealt by ranges of doc_id, texts compressed on the way; equal ids stay together and
-    are ordered by a hash of their text. NULL ids come first, NULL texts are empty.
+    Documents are dealt by ranges of doc_id; equal ids stay together and are ordered by a hash of their text. NULL ids come first, NULL texts are empty.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
-    dealt = dealt.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    dealt = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     store(folder)[0].create_dir(store(folder)[1], recursive=True)
 
+    @frugal
     def work(batches):
         files, root = store(folder)
         name = f"{root}/shard-{uuid.uuid4().hex}.idp"
         code, writer, out, low = library_encoder(tokenizer), None, None, None
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for first, texts in unpacked_slabs(batch.column("z")):
+            found, starts = code.ids(batch.column("text"))
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), starts[:-1], starts[1:]):
                 if writer is None:
-                    out, low = files.open_output_stream(name), ids[first]
+                    out, low = files.open_output_stream(name), doc_id
                     writer = ShardWriter(out, planes)
-                for doc_id, found in zip(ids[first : first + len(texts)], code.ids([t.decode() for t in texts])):
-                    writer.add(doc_id, np.append(found, np.uint32(END)))
+                writer.add(doc_id, np.append(found[a:b], np.uint32(END)))
         if writer is not None:
             writer.close()
             out.close()

@@ -178,19 +178,6 @@ def unpack(column: pa.Array) -> list[bytes]:
     return [b"" if (b := v.as_buffer()) is None else opener.decompress(b.to_pybytes()) for v in column]
 
 
-def unpacked_slabs(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """As ``slabs``, of compressed texts."""
-    first, held, size = 0, [], 0
-    for i in range(len(column)):
-        held += unpack(column[i : i + 1])
-        size += len(held[-1])
-        if size >= SLAB:
-            yield first, held
-            first, held, size = i + 1, [], 0
-    if held:
-        yield first, held
-
-
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of ranges as sorted disjoint ranges; touching ranges become one."""
     if not len(starts):

@@ -141,17 +141,21 @@ def test_planes_round_trip(kind):
 
 def test_shards(table, spark):
     import public_tokenizers
+    from tokenizers import Tokenizer
 
     from framevitals.sources.scratch import fresh_path
-    from llm.bit_planes import library_encoder, read_shards, write_shards
+    from llm.bit_planes import read_shards, write_shards
     from llm.bpe_frame import tokenizer_text
 
     text = tokenizer_text(public_tokenizers.path("word_bpe_49k.json"))
-    docs, folder = passages(6), fresh_path(spark, "planes")
+    r = random.Random(4)
+    odd = ["".join(chr(r.choice((r.randrange(1, 0x260), r.randrange(32, 127), 0x130, 32, 39, 0x301, 0x4E00, 0xA0, 0x1C))) for _ in range(60)) for _ in range(200)]
+    odd += ["a<|endoftext|>b <|startoftext|> I'LL we've 12 3a...", "İİ é é", "word, " * 350_000]
+    docs, folder = passages(6) + list(enumerate(odd, 1000)), fresh_path(spark, "planes")
     got = read_shards(write_shards(table(docs), text, folder), folder).collect()
-    code, sizes = library_encoder(text), {}
+    library, sizes = Tokenizer.from_str(text), {}
     for i, t in docs:
-        ids = np.append(code.ids(t or ""), np.uint32(1)).astype("<u4")
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         sizes.setdefault(str(i), []).append((len(ids), zlib.crc32(ids.tobytes())))
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((i, *x) for i, xs in sizes.items() for x in xs)
     placed = sorted(got, key=lambda r: r.start)
