@@ -50,7 +50,8 @@ def _facts(df: DataFrame) -> dict[str, dict]:
     return {r["column"]: r.asDict() for r in column_report(df).collect()}  # one row per column
 
 
-def _classifies(family: str, unique: int, rows: int) -> bool:
+def classifies(family: str, unique: int, rows: int) -> bool:
+    """Whether a target of this family with so many values calls for classification."""
     if family in (C.STRING, C.BOOLEAN):
         return True
     return family == C.INTEGER and unique < min(20, rows * 0.1)
@@ -62,7 +63,7 @@ def task_type(df: DataFrame, target: str) -> DataFrame:
     known = drop_missing_target(df.select(C.ref(name)), name)
     family = C.families(df)[name]
     fact = _facts(known).get(name, {"n_unique": 0, "rows": 0})
-    task = "classification" if _classifies(family, fact["n_unique"] or 0, fact["rows"]) else "regression"
+    task = "classification" if classifies(family, fact["n_unique"] or 0, fact["rows"]) else "regression"
     return C.small_frame(
         df.sparkSession,
         "target string, family string, n_unique bigint, rows bigint, task string",
@@ -79,7 +80,7 @@ def features_of(
     if not facts:
         return [], True, ()
     rows = facts[target]["rows"]
-    classify = _classifies(families[target], facts[target]["n_unique"] or 0, rows)
+    classify = classifies(families[target], facts[target]["n_unique"] or 0, rows)
     numeric = [
         c for c in C.numeric_columns(known, exclude=[target]) if (facts[c]["n_unique"] or 0) > 1
     ]

@@ -92,7 +92,7 @@ FULL = union(
 
 @query("full_report", FULL)
 def _(spark, sf_dir):
-    rows = full_report(dirty(spark, sf_dir), "o_totalprice", row_key=["o_orderkey"])
+    rows = full_report(dirty(spark, sf_dir), "o_totalprice", row_key=["o_orderkey"], checks=())
     seconds = F.when(F.col("section") == "stats_datetime", F.substring("txt", 1, 19)).otherwise(F.col("txt"))
     return plain(rows.withColumn("txt", seconds), 4)
 
@@ -135,7 +135,7 @@ BY_STATUS = union(
 
 @query("report_other_target", BY_STATUS)
 def _(spark, sf_dir):
-    rows = full_report(dirty(spark, sf_dir), "o_orderstatus", row_key=["o_orderkey"])
+    rows = full_report(dirty(spark, sf_dir), "o_orderstatus", row_key=["o_orderkey"], checks=())
     return plain(rows.where(F.col("section").isin("imbalance", "class", "predictive_power", "leakage")), 4)
 
 
@@ -331,3 +331,75 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("event_id", "event_type")
     return clean(df, [{"action": "upper_case", "columns": ["event_type"]}]).frame
+
+
+if "high_share" not in list_checks():
+
+    @register_check("high_share", depends_on=["high_values"])
+    def high_share(df, target, profile, context):
+        return context["high_values"].select((F.col("high") / F.col("rows")).alias("share"))
+
+    @register_check("broken")
+    def broken(df, target, profile, context):
+        """Fails only while it runs, on a row that no plan shows."""
+        return df.agg(F.sum(F.when(F.col("event_id") >= 0, F.raise_error("broken on purpose").cast("int"))).alias("n"))
+
+    @register_check("after_broken", depends_on=["broken"])
+    def after_broken(df, target, profile, context):
+        return context["broken"]
+
+
+EVENT_TOTALS = """
+with e as (select event_id, event_type, value from events),
+n as (select count(*) as n from e), d as (select count(*) as k from (select distinct * from e)),
+m as (select sum((event_id is null)::int + (event_type is null)::int + (value is null)::int) as m from e)
+"""
+EVENT_SUMMARY = [
+    "select 'summary' as section, 'dataset' as item, 'rows' as metric, n::double as num, null as txt from n",
+    "select 'summary', 'dataset', 'cols', 3::double, null",
+    "select 'summary', 'dataset', 'missing_pct', round(100.0 * m / (3 * n), 2)::double, null from n, m",
+    "select 'summary', 'dataset', 'duplicates', (n - k)::double, null from n, d",
+    "select 'summary', 'dataset', 'duplicates_pct', round(100.0 * (n - k) / n, 2)::double, null from n, d",
+    "select 'summary', 'dataset', 'target', null::double, 'value'",
+]
+HIGH = "select count(*) filter (where value > (select avg(value) from events)) as high, count(*) as n from events"
+
+
+def event_report(spark, sf_dir, checks):
+    df = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return full_report(df, "value", row_key=["event_id"], checks=checks)
+
+
+@query(
+    "report_custom_check",
+    EVENT_TOTALS
+    + " union all ".join(
+        [
+            *EVENT_SUMMARY,
+            f"select 'high_values', 'dataset', 'high', high::double, null from ({HIGH})",
+            f"select 'high_values', 'dataset', 'rows', n::double, null from ({HIGH})",
+            f"select 'high_share', 'dataset', 'share', round(high / n, 4)::double, null from ({HIGH})",
+        ]
+    ),
+)
+def _(spark, sf_dir):
+    """Registered checks are sections of the report; one gets the result of the other."""
+    return plain(event_report(spark, sf_dir, ["high_share"]).where("section in ('summary', 'high_values', 'high_share')"), 4)
+
+
+@query(
+    "report_with_failure",
+    EVENT_TOTALS
+    + " union all ".join(
+        [
+            *EVENT_SUMMARY,
+            "select 'broken', 'dataset', 'error', null::double, 'broken on purpose' from n where n > 0",
+            "select 'after_broken', 'dataset', 'error', null::double, 'needs broken: broken on purpose' from n where n > 0",
+        ]
+    ),
+)
+def _(spark, sf_dir):
+    """A check that fails while it runs is one row of its section, as is what depends on it; all else is there."""
+    rows = event_report(spark, sf_dir, ["after_broken"]).where("metric = 'error' or section = 'summary'")
+    text = F.regexp_replace("txt", "^(needs broken: )?.*(broken on purpose).*$", "$1$2")
+    return plain(rows.withColumn("txt", F.when(F.col("metric") == "error", text).otherwise(F.col("txt"))), 4)

@@ -52,8 +52,7 @@ def test_imbalance_edges(spark):
     assert (row["num_classes"], row["majority_ratio"], row["missing_ratio"]) == (2, 0.5, 0.5)
     many = spark.range(1001).selectExpr("id as t")
     assert labels.imbalance(many, "t").first()["details"] == "target has too many distinct values"
-    assert labels.class_distribution(many, "t").count() == 0
-    assert labels.class_distribution(many.where("t < 1000"), "t").count() == 1000
+    assert labels.class_distribution(many, "t").count() == 1001  # every class, at any number
     empty = labels.imbalance(many.where("t < 0"), "t").first()
     assert empty["details"] == "target column is empty" and empty["is_imbalanced"] is False
 
