@@ -189,3 +189,61 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     df = dirty(spark, sf_dir)
     return plain(signal_table(stats_numeric(df), predictive.predictive_power(df, "o_totalprice", ["o_orderkey"])))
+
+
+def ross_sql(source: str, c: str, x: str, k: int = 3) -> str:
+    """The nearest-neighbour estimate by ranking all distances, for a small table."""
+    return f"""(with p as (select row_number() over () as i, cast({c} as varchar) as c, cast({x} as double) as x from ({source}) where {c} is not null and {x} is not null),
+        n as (select c, count(*) as n_c from p group by c having count(*) > 1),
+        q as (select p.*, n_c, least({k}, n_c - 1) as k from p join n using (c)),
+        d as (select a.i, a.x, a.n_c, a.k, list_extract(list_sort(list(abs(b.x - a.x))), any_value(a.k)) as r from q a join q b on a.c = b.c and a.i <> b.i group by all),
+        m as (select d.i, d.n_c, d.k, count(*) as m from d join q b on case when d.r > 0 then b.x > d.x - d.r and b.x < d.x + d.r else b.x = d.x end group by all),
+        h as (select i + 1 as i, -0.5772156649015329 + sum(1.0::double / i) over (order by i) as psi from range(1, (select count(*) + 1 from p)) as t(i)
+              union all select 1, -0.5772156649015329),
+        s as (select avg(hk.psi - hn.psi - hm.psi) as v from m join h hk on hk.i = m.k join h hn on hn.i = m.n_c join h hm on hm.i = m.m)
+        select greatest(0.0, v + (select psi from h where i = (select count(*) from q))) from s)"""
+
+
+def table_sql(source: str, c: str, x: str) -> str:
+    """Mutual information of two discrete columns."""
+    return f"""(with t as (select {c} as c, {x} as x, count(*)::double as n from ({source}) group by all),
+        s as (select sum(n) as total from t), a as (select c, sum(n) as n from t group by c), b as (select x, sum(n) as n from t group by x)
+        select greatest(0.0, sum(t.n / total * ln(t.n * total / (a.n * b.n)))) from t join a using (c) join b using (x), s)"""
+
+
+CUSTOMER = "select c_custkey, c_nationkey, c_acctbal, c_mktsegment from customer"
+
+
+def _knn_row(i: int, name: str, discrete: bool, method: str, value: str) -> str:
+    return f"select {i} as position, '{name}' as feature, {str(discrete).lower()} as discrete, '{method}' as method, round({value}, 4) as mi"
+
+
+@query(
+    "mi_knn",
+    union(
+        [
+            _knn_row(0, "c_custkey", False, "neighbours", ross_sql(CUSTOMER, "c_mktsegment", "c_custkey")),
+            _knn_row(1, "c_nationkey", True, "table", table_sql(CUSTOMER, "c_mktsegment", "c_nationkey")),
+            _knn_row(2, "c_acctbal", False, "neighbours", ross_sql(CUSTOMER, "c_mktsegment", "c_acctbal")),
+        ]
+    ),
+)
+def _(spark, sf_dir):
+    """Continuous features against a class, by their three nearest neighbours."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return plain(predictive.mutual_information_knn(df, "c_mktsegment"), 4)
+
+
+@query(
+    "mi_knn_target",
+    union(
+        [
+            _knn_row(0, "c_nationkey", True, "neighbours", ross_sql(CUSTOMER, "c_nationkey", "c_acctbal")),
+            _knn_row(1, "c_mktsegment", True, "neighbours", ross_sql(CUSTOMER, "c_mktsegment", "c_acctbal")),
+        ]
+    ),
+)
+def _(spark, sf_dir):
+    """Discrete features against a continuous target, by its three nearest neighbours."""
+    df = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", "c_acctbal")
+    return plain(predictive.mutual_information_knn(df, "c_acctbal"), 4)
