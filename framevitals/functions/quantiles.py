@@ -1,13 +1,16 @@
 """Exact quantiles of many columns without sorting or shuffling the columns.
 
-The built-in exact ``percentile`` keeps every distinct value of a column in one buffer,
-which a single task cannot hold for a large column. Here each column is first counted in
-fixed-width buckets between its minimum and maximum (a map-side aggregate, at most
-``BUCKETS`` small rows per column leave a task). Running sums tell which bucket holds each
-wanted rank; a bucket that is still too full is bucketed again, and only the values of
-the final buckets are grouped and ranked. The result is exact for any distribution, the
-cost does not depend on how many quantiles are wanted, and a value that fills a third of
-the column is one group from the first partial aggregate on.
+The built-in exact ``percentile`` keeps every distinct value of a column in one buffer, which a single task cannot hold for a
+large column. This is a radix selection on the order of doubles instead: the first digit is sign and binary
+exponent, each further one up to ``BITS`` bits of the mantissa. A round counts the values per digit of all open zones, a
+zone being the values that share the digits so far (a map-side aggregate; at most ``BUDGET`` small rows reach the driver a
+round, whatever the data and the number of zones). Running sums tell which digits hold the wanted ranks; those are the next
+round's zones. A digit with one value is settled at once, so a value that fills a third of a column ends its zone, and
+when at most ``READ`` values are left in all zones together they are grouped and ranked.
+
+Zones enter a round as literal bounds, so a round's plan is as long as its zones are many, at any depth, and a double has no more
+than 2 + 52 / ``BITS`` digits. Within a binary exponent, differences and divisions by powers of two are exact: every value
+falls into the digit that its bits say, infinities, subnormal numbers and both zeros included.
 """
 
 from __future__ import annotations
@@ -17,28 +20,62 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framevitals.functions import columns as C
 
-BUCKETS = 4_096
-STRIDE = BUCKETS + 2
-MAX_INSIDE = 2_000_000
-MAX_LEVELS = 8
-DRIVER_VALUES = 4_000_000
+BITS = 12
+BUDGET = 1 << 18
+READ = 200_000
 BATCH = 48
+#: Of IEEE 754 doubles: least and largest binary exponent, bits of the mantissa.
+LEAST, MOST, MANTISSA = -1074, 1023, 52
+ENDS = MOST - LEAST + 2
+SPAN = 2 * ENDS + 1
 
 
 @dataclass
 class _Zone:
-    """A run of consecutive values of one column; ``value`` is NULL outside it."""
+    """Values with ``low <= sign * value < low + 2 ** size``, within one binary exponent."""
 
-    column: str
-    value: Column
+    column: int
+    sign: int
+    low: float
+    size: int
+    least: int  # the values are multiples of 2 ** least
     base: int  # values of the column that sort before the zone
+    count: int
     ranks: set[int]
-    bucket: Column | None = None
+
+    def holds(self) -> Column:
+        y = self.value()
+        high = self.low + 2.0**self.size if self.size < MOST or self.low < 2.0**MOST else math.inf
+        return (y >= F.lit(self.low)) & (y < F.lit(high))
+
+    def value(self) -> Column:
+        v = F.col(f"v{self.column}")
+        return v if self.sign > 0 else -v
+
+    def digit(self, bits: int) -> Column:
+        """Number of the value's part of the zone, in the order of values; the zone has 2 ** ``bits`` parts."""
+        part = F.floor((self.value() - F.lit(self.low)) / F.lit(2.0 ** (self.size - bits)))
+        return part if self.sign > 0 else F.lit((1 << bits) - 1) - part
+
+    def part(self, digit: int, bits: int, base: int, count: int, ranks: set[int]) -> _Zone:
+        place = digit if self.sign > 0 else (1 << bits) - 1 - digit
+        size = self.size - bits
+        return _Zone(self.column, self.sign, self.low + place * 2.0**size, size, self.least, base, count, ranks)
+
+
+def _exponent(v: Column) -> Column:
+    """The first digit: 0 for zero, else sign * (binary exponent - LEAST + 1), infinities outermost."""
+    size = F.abs(v)
+    guess = F.floor(F.log2(size)).cast("int")
+    power = F.pow(F.lit(2.0), guess)  # the logarithm may be off by one next to a power of two
+    exact = F.when(size < power, guess - 1).when(size >= power * 2.0, guess + 1).otherwise(guess)
+    digit = F.when(size == F.lit(math.inf), F.lit(ENDS)).otherwise(exact - F.lit(LEAST - 1))
+    return F.when(v == 0.0, 0).when(v > 0.0, digit).when(v < 0.0, -digit)
 
 
 def exact_quantiles(
@@ -53,25 +90,25 @@ def exact_quantiles(
     if not exprs:
         return {}
     values = df.select(*[e.cast("double").alias(f"v{i}") for i, e in enumerate(exprs.values())])
-    zones = [_Zone(c, F.col(f"v{i}"), 0, set()) for i, c in enumerate(exprs)]
-    counts: dict[str, int] = {}
-    found: dict[tuple[str, int], float] = {}
-    level = 0
-    while zones:
-        deeper: list[_Zone] = []
-        for start in range(0, len(zones), BATCH):
-            deeper += _search(values, zones[start : start + BATCH], probs, counts, found, level)
-        zones, level = deeper, level + 1
+    counts = [0] * len(exprs)
+    found: dict[tuple[int, int], float] = {}
+    zones: list[_Zone] = []
+    for start in range(0, len(exprs), BATCH):
+        zones += _first(values, range(start, min(start + BATCH, len(exprs))), probs, counts, found)
+    while sum(z.count for z in zones) > READ:
+        zones = _deeper(values, zones, found)
+    if zones:
+        _read(values, zones, found)
 
     out: dict[str, list[float | None]] = {}
-    for c in exprs:
+    for i, c in enumerate(exprs):
         out[c] = []
         for p in probs:
-            if counts[c] == 0:
+            if counts[i] == 0:
                 out[c].append(None)
                 continue
-            pos = p * (counts[c] - 1)
-            low, high = found[(c, math.floor(pos))], found[(c, math.ceil(pos))]
+            pos = p * (counts[i] - 1)
+            low, high = found[(i, math.floor(pos))], found[(i, math.ceil(pos))]
             out[c].append(low if low == high else low + (high - low) * (pos - math.floor(pos)))
     return out
 
@@ -89,107 +126,85 @@ def bin_number(value: Column, edges: Sequence[float]) -> Column:
     return between(0, len(cuts))
 
 
-def _search(values, zones, probs, counts, found, level) -> list[_Zone]:
-    """One round over some zones; settles what it can and returns the zones to look into."""
-    row = values.agg(
-        *[f(z.value).alias(f"{f.__name__}{i}") for i, z in enumerate(zones) for f in (F.count, F.min, F.max)]
-    ).first()
-    open_zones = []
-    for i, z in enumerate(zones):
-        n, low, high = row[f"count{i}"], row[f"min{i}"], row[f"max{i}"]
-        if level == 0:
-            counts[z.column] = n
-            z.ranks = {f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)} if n else set()
-        if not z.ranks:
-            continue
-        if low == high:
-            found.update({(z.column, r): low for r in z.ranks})
-            continue
-        z.bucket = _bucket(z.value, low, high, logarithmic=level % 2 == 1)
-        open_zones.append(z)
-    if not open_zones:
-        return []
-
-    # at most BUCKETS + 2 counts per zone reach the driver, whatever the data
-    keys = F.array(*[F.lit(i * STRIDE) + z.bucket for i, z in enumerate(open_zones)])
-    counted = values.select(F.explode(keys).alias("key")).where("key is not null").groupBy("key").count().toArrow()
-    key, n = counted["key"].to_numpy(), counted["count"].to_numpy()
-    order = np.argsort(key)
-    key, n = key[order], n[order]
-
-    deeper, ready = [], {}
-    for i, z in enumerate(open_zones):
-        mine = slice(*np.searchsorted(key, [i * STRIDE, (i + 1) * STRIDE]))
-        upto = np.cumsum(n[mine])
-        wanted: dict[int, set[int]] = {}
-        for r in z.ranks:
-            wanted.setdefault(int(np.searchsorted(upto, r - z.base, side="right")), set()).add(r)
-        for spot, ranks in wanted.items():
-            bucket, size = int(key[mine][spot]) - i * STRIDE, int(n[mine][spot])
-            below = z.base + int(upto[spot]) - size
-            if size > MAX_INSIDE and level < MAX_LEVELS:
-                deeper.append(_Zone(z.column, F.when(z.bucket == bucket, z.value), below, ranks))
-            else:
-                ready[i * STRIDE + bucket] = (below, ranks, size)
-    if ready:
-        _read(values, open_zones, ready, found)
-    return deeper
-
-
-def _bucket(value: Column, low: float, high: float, logarithmic: bool) -> Column:
-    """Bucket number of a value; order-preserving, so equal ranks stay together.
-
-    Every other level uses a logarithmic scale, which resolves heavy tails quickly.
-    """
+def _counted(values: DataFrame, keys: dict[int, Column]) -> dict[str, np.ndarray]:
+    """Per key, ascending: how many values have it, the least and the largest. ``keys``: column -> key of its value or NULL."""
+    cells = [c for i, key in keys.items() for c in (key.cast("long"), F.col(f"v{i}"))]
+    long = values.select(F.stack(F.lit(len(keys)), *cells).alias("key", "v")).where("key is not null and v is not null")
+    table = long.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).toArrow()
+    order = np.argsort(table["key"].to_numpy())
+    return {c: table[c].to_numpy()[order] for c in ("key", "n", "low", "high")}
+
+
+def _wanted(counted: dict[str, np.ndarray], mine: slice, base: int, ranks: set[int], column: int, found) -> list[tuple]:
+    """(place, values before it, its values, ranks) of the keys that hold ranks and have several values; settles the others."""
+    upto = np.cumsum(counted["n"][mine])
+    by_place: dict[int, set[int]] = {}
+    for r in ranks:
+        by_place.setdefault(int(np.searchsorted(upto, r - base, side="right")), set()).add(r)
+    out = []
+    for place, some in by_place.items():
+        at, n = mine.start + place, int(counted["n"][mine][place])
+        if counted["low"][at] == counted["high"][at]:
+            found.update({(column, r): float(counted["low"][at]) for r in some})
+        else:
+            out.append((at, base + int(upto[place]) - n, n, some))
+    return out
+
+
+def _first(values: DataFrame, columns: range, probs, counts: list[int], found) -> list[_Zone]:
+    """The round over signs and exponents: at most ``SPAN`` keys a column."""
+    counted = _counted(values, {i: F.lit(i * SPAN + ENDS) + _exponent(F.col(f"v{i}")) for i in columns})
+    zones = []
+    for i in columns:
+        mine = slice(*np.searchsorted(counted["key"], [i * SPAN, (i + 1) * SPAN]).tolist())
+        counts[i] = n = int(counted["n"][mine].sum())
+        ranks = {f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)} if n else set()
+        for at, base, size, some in _wanted(counted, mine, 0, ranks, i, found):
+            digit = int(counted["key"][at]) - i * SPAN - ENDS
+            exponent = abs(digit) + LEAST - 1
+            zones.append(_Zone(i, 1 if digit > 0 else -1, 2.0**exponent, exponent, max(exponent - MANTISSA, LEAST), base, size, some))
+    return zones
+
+
+def _chain(zones: list[tuple[int, _Zone]], key) -> Column:
+    """``key(number, zone)`` of the zone a column's value lies in."""
+    found = None
+    for number, zone in zones:
+        found = F.when(zone.holds(), key(number, zone)) if found is None else found.when(zone.holds(), key(number, zone))
+    return found
+
+
+def _by_column(zones: list[_Zone], key) -> dict[int, Column]:
+    own: dict[int, list[tuple[int, _Zone]]] = {}
+    for number, zone in enumerate(zones):
+        own.setdefault(zone.column, []).append((number, zone))
+    return {i: _chain(some, key) for i, some in own.items()}
+
+
+def _deeper(values: DataFrame, zones: list[_Zone], found) -> list[_Zone]:
+    """One round over the next bits of all zones."""
+    wide = max(1, min(BITS, int(math.log2(max(2, BUDGET // len(zones))))))
+    bits = [min(wide, z.size - z.least) for z in zones]
+    counted = _counted(values, _by_column(zones, lambda k, z: F.lit(k << wide) + z.digit(bits[k])))
+    out = []
+    for k, z in enumerate(zones):
+        mine = slice(*np.searchsorted(counted["key"], [k << wide, (k + 1) << wide]).tolist())
+        for at, base, n, some in _wanted(counted, mine, z.base, z.ranks, z.column, found):
+            out.append(z.part(int(counted["key"][at]) - (k << wide), bits[k], base, n, some))
+    return out
+
 
-    def scale(x: Column) -> Column:
-        return F.signum(x) * F.log1p(F.abs(x)) if logarithmic else x
-
-    lo, hi = F.lit(float(low)).cast("double"), F.lit(float(high)).cast("double")
-    if logarithmic and math.copysign(math.log1p(abs(low)), low) >= math.copysign(math.log1p(abs(high)), high):
-        return _bucket(value, low, high, logarithmic=False)
-    inner = F.width_bucket(scale(value), scale(lo), scale(hi), F.lit(BUCKETS))
-    return F.when(value.isNotNull(), F.coalesce(inner, F.lit(0)).cast("int"))
-
-
-def _read(values, zones, ready, found) -> None:
-    """Group only the values of the final buckets and read the wanted ranks."""
-    keyed = values.select(
-        *[(F.lit(i * STRIDE) + z.bucket).alias(f"key{i}") for i, z in enumerate(zones)],
-        *[z.value.alias(f"val{i}") for i, z in enumerate(zones)],
-    )
-    keys = sorted(ready)
-    cells = [F.col(f"{c}{i}") for i in range(len(zones)) for c in ("key", "val")]
-    grouped = (
-        keyed.select(F.stack(F.lit(len(zones)), *cells).alias("key", "v"))
-        .where(F.col("key").isin(keys))
-        .groupBy("key", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    if sum(size for _, _, size in ready.values()) > DRIVER_VALUES:
-        grouped = _around(grouped, {k: {r - below for r in ranks} for k, (below, ranks, _) in ready.items()})
-    else:
-        grouped = grouped.withColumn("upto", F.lit(None).cast("bigint"))
-    table = grouped.toArrow()  # a counted number of values, or one per wanted rank
-    key, v = table["key"].to_numpy(), table["v"].to_numpy()
+def _read(values: DataFrame, zones: list[_Zone], found) -> None:
+    """Group the values of zones that hold few together, and read the wanted ranks."""
+    keys = _by_column(zones, lambda k, z: F.lit(k))
+    cells = [c for i, key in keys.items() for c in (key, F.col(f"v{i}"))]
+    long = values.select(F.stack(F.lit(len(keys)), *cells).alias("key", "v")).where("key is not null")
+    table = long.groupBy("key", "v").agg(F.count(F.lit(1)).alias("n")).toArrow()  # READ rows at most
+    key, v, n = (table[c].to_numpy() for c in ("key", "v", "n"))
     order = np.lexsort((v, key))
-    key, v, n = key[order], v[order], table["n"].to_numpy()[order]
-    known = table["upto"].null_count == 0
-    upto = table["upto"].to_numpy()[order] if known else None
-    for k, (below, ranks, _) in ready.items():
-        mine = slice(*np.searchsorted(key, [k, k + 1]))
-        ends = upto[mine] if known else np.cumsum(n[mine])
-        for r in ranks:
-            spot = int(np.searchsorted(ends, r - below, side="right"))
-            found[(zones[k // STRIDE].column, r)] = float(v[mine][spot])
-
-
-def _around(grouped: DataFrame, wanted: dict[int, set[int]]) -> DataFrame:
-    """Rank crowded buckets on the executors; keep the values that hold a wanted rank."""
-    keys = sorted(wanted)
-    listed = ", ".join("array(" + ", ".join(f"{r}L" for r in sorted(wanted[k])) + ")" for k in keys)
-    spot = f"array_position(array({', '.join(str(k) for k in keys)}), key) - 1"
-    upto = F.sum("n").over(Window.partitionBy("key").orderBy("v"))
-    return grouped.withColumn("upto", upto).where(
-        F.expr(f"exists(array({listed})[cast({spot} as int)], r -> r < upto and r >= upto - n)")
-    )
+    key, v, n = key[order], v[order], n[order]
+    for k, z in enumerate(zones):
+        mine = slice(*np.searchsorted(key, [k, k + 1]).tolist())
+        upto = np.cumsum(n[mine])
+        for r in z.ranks:
+            found[(z.column, r)] = float(v[mine][int(np.searchsorted(upto, r - z.base, side="right"))])

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
+from framevitals.functions.quantiles import exact_quantiles
 from framevitals.operators import predictive
 from framevitals.operators.statistics import stats_numeric
 from framevitals.plans.views import signal_table
@@ -247,3 +248,24 @@ def _(spark, sf_dir):
     """Discrete features against a continuous target, by its three nearest neighbours."""
     df = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", "c_acctbal")
     return plain(predictive.mutual_information_knn(df, "c_acctbal"), 4)
+
+
+EXTREME = """select case when l_orderkey % 3 = 0 then 42.0::double when l_linenumber = 1 then l_extendedprice::double * 1e300
+    when l_linenumber = 2 then l_extendedprice::double * 1e-300 when l_linenumber = 3 then l_extendedprice::double * -1e-315
+    when l_linenumber = 4 then 'Infinity'::double when l_linenumber = 5 then '-Infinity'::double else -l_extendedprice::double end as v from lineitem"""
+EXTREME_PROBS = (0.0, 0.02, 0.1, 0.2, 0.3, 0.5, 0.6, 0.8, 0.85, 1.0)
+
+
+@query(
+    "quantiles_extreme",
+    union([f"select {p}::double as p, quantile_cont(v, {p}) as value from ({EXTREME})" for p in EXTREME_PROBS]),
+)
+def _(spark, sf_dir):
+    """Infinities, subnormal numbers, 600 powers of ten, and one value in a third of the rows."""
+    v = table(spark, sf_dir, "lineitem").selectExpr(
+        """case when l_orderkey % 3 = 0 then 42.0D when l_linenumber = 1 then cast(l_extendedprice as double) * 1e300D
+           when l_linenumber = 2 then cast(l_extendedprice as double) * 1e-300D when l_linenumber = 3 then cast(l_extendedprice as double) * -1e-315D
+           when l_linenumber = 4 then double('Infinity') when l_linenumber = 5 then double('-Infinity') else -cast(l_extendedprice as double) end as v"""
+    )
+    found = exact_quantiles(v, ["v"], EXTREME_PROBS)["v"]
+    return spark.createDataFrame(list(zip(EXTREME_PROBS, found)), "p double, value double")
