@@ -76,6 +76,20 @@ def hex_form(ip: Column) -> Column:
     )
 
 
+def sort_key(ip: Column) -> Column:
+    """A text that orders addresses: '4' and 8 hex digits, or '6' and 32; NULL when it is no address.
+
+    An IPv4 address mapped into IPv6 is the IPv4 address.
+    """
+    digits = F.regexp_replace(hex_form(F.regexp_replace(ip, MAPPED_TEXT, "")), MAPPED_HEX, "$1")
+    return F.concat(F.when(F.length(digits) == 8, "4").otherwise("6"), digits)
+
+
+def number_key(number: Column) -> Column:
+    """The same for an IPv4 address given as a number."""
+    return F.concat(F.lit("4"), F.lpad(F.lower(F.hex(number.cast("bigint"))), 8, "0"))
+
+
 def _prefix_pattern(network: str) -> str:
     """A pattern for the hex form of all addresses of a network."""
     net = ipaddress.ip_network(network)

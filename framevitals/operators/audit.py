@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framevitals.functions import net
-from framevitals.operators.lookup import attach
+from framevitals.functions.ordered import last_before
+from framevitals.operators.lookup import SMALL_DICTIONARY, attach
 from framevitals.sources.scratch import checkpointed
 
-BLOCK_BITS = 16
-SMALL_RANGES = 2_000_000
 UNKNOWN = "Unknown"
 NO_CITY = "—"
 ACTOR_SHOWN = 8
@@ -22,36 +21,26 @@ def public_only(events: DataFrame, ip: str = "ip") -> DataFrame:
     return events.where(~net.is_local(F.col(ip)))
 
 
-def geo_lookup(events: DataFrame, ranges: DataFrame, ip: str = "ip", small: int = SMALL_RANGES) -> DataFrame:
+def geo_lookup(events: DataFrame, ranges: DataFrame, ip: str = "ip", small: int = SMALL_DICTIONARY) -> DataFrame:
     """Add ``country`` from non-overlapping ``ranges`` (lo, hi, country); 'Unknown' without a match.
 
-    A range join by equality: ranges are cut at /16 blocks, an address carries its block, and
-    the bounds are checked on the few ranges of that block. Cut ranges of a small counted
-    number are broadcast to the events. Otherwise each distinct address is looked up once (a
-    block has at most 65 536 of them, however busy the network) and the answers are attached.
+    ``lo`` and ``hi`` are addresses as text, IPv4 or IPv6, or IPv4 numbers. Each distinct address is looked up once, by
+    predecessor search: addresses and range starts are sorted together over all tasks, every address takes the last
+    start before it and checks that range's end. The answers are then attached to the events. However many addresses or ranges
+    share a network, no pairs of them are formed.
     """
-    size = 1 << BLOCK_BITS
-    cut = ranges.select(F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), "country").select(
-        "*", F.explode(F.sequence(F.floor(F.col("__lo") / size), F.floor(F.col("__hi") / size))).alias("__block")
-    )
-    on = (F.col("__event_block") == F.col("__block")) & F.col("__ip").between(F.col("__lo"), F.col("__hi"))
-
-    def located(df: DataFrame, address: str, how: str, hint: bool) -> DataFrame:
-        number = net.v4_number(F.col(address))
-        keyed = df.withColumn("__ip", number).withColumn("__event_block", F.floor(F.col("__ip") / size))
-        return keyed.join(F.broadcast(cut) if hint else cut, on, how)
-
-    if cut.count() <= small:
-        found = located(events, ip, "left", True)
-    else:
-        addresses = events.groupBy(F.col(ip).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        answers = checkpointed(
-            located(addresses.where("value is not null"), "value", "left", False).select(
-                "value", F.col("country").alias("found"), "n"
-            )
-        )
-        found = attach(events, F.col(ip), answers, "country", answers.count(), small)
-    return found.select(*events.columns, F.coalesce("country", F.lit(UNKNOWN)).alias("country"))
+    kinds = dict(ranges.dtypes)
+    low, high = (net.sort_key(F.col(c)) if kinds[c] == "string" else net.number_key(F.col(c)) for c in ("lo", "hi"))
+    starts = ranges.select(low.alias("at"), F.lit(0).alias("kind"), F.struct(high.alias("hi"), "country").alias("found"))
+    starts = starts.where("at is not null and found.hi is not null")
+    addresses = events.groupBy(F.col(ip).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    asked = addresses.withColumn("at", net.sort_key(F.col("value"))).where("at is not null").withColumn("kind", F.lit(1))
+    rows = asked.unionByName(starts, allowMissingColumns=True)
+    near = last_before(rows, "found", "at", "kind").where("kind = 1")
+    inside = (F.col("at") <= F.col("found.hi")) & (F.length("at") == F.length("found.hi"))
+    answers = checkpointed(near.where(inside).select("value", F.col("found.country").alias("found"), "n"))
+    found = attach(events, F.col(ip), answers, "__country", answers.count(), small)
+    return found.select(*events.columns, F.coalesce("__country", F.lit(UNKNOWN)).alias("country"))
 
 
 def entries(

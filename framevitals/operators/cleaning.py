@@ -157,6 +157,18 @@ def fill_value(df: DataFrame, column: str, strategy: str, constant: Any = 0) ->
     return found
 
 
+def _constant(df: DataFrame, column: str, constant: Any) -> tuple[Column, bool]:
+    """The constant as a literal of the column's type, tried when the step runs; an integer column with a fraction becomes double."""
+    dtype = df.schema[column].dataType
+    number = F.lit(constant).try_cast("double") if not isinstance(constant, bool) else F.lit(None).cast("double")
+    tried = df.sparkSession.range(1).select(F.lit(constant).try_cast(dtype).alias("same"), number.alias("number")).first()
+    if C.family_of(dtype) == C.INTEGER and tried["number"] is not None and tried["number"] != tried["same"]:
+        return F.lit(tried["number"]), True
+    if tried["same"] is None:
+        raise ValueError(f"{constant!r} is no value for '{column}' ({dtype.simpleString()})")
+    return F.lit(constant).cast(dtype), False
+
+
 def impute(df: DataFrame, column: str, method: str = "auto", constant: Any = 0) -> tuple[DataFrame, dict[str, Any]]:
     """Fill the NULLs of one column; (frame, log). Without NULLs the frame is returned as it is.
 
@@ -171,14 +183,17 @@ def impute(df: DataFrame, column: str, method: str = "auto", constant: Any = 0)
     fill = fill_value(df, column, strategy, constant)
     dtype = df.schema[column].dataType
     family = C.family_of(dtype)
+    widened = False
     if family == C.DATETIME and strategy in ("mean", "median"):
         literal = F.timestamp_micros(F.lit(fill)).cast(dtype)
+    elif strategy == "constant":
+        literal, widened = _constant(df, column, fill)
     elif strategy in ("mean", "median"):
         literal = F.lit(float(fill))
     else:
         literal = F.lit(fill).cast(dtype)
     known = C.nan_to_null(df)
-    value = C.as_double(column) if strategy in ("mean", "median") and family != C.DATETIME else C.ref(column)
+    value = C.as_double(column) if widened or strategy in ("mean", "median") and family != C.DATETIME else C.ref(column)
     filled = known.withColumn(column, F.coalesce(value, literal))
     return filled, {"column": column, "strategy_used": strategy, "fill_value": str(fill), "nulls_fixed": gaps}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from framevitals.functions.moments import pearson
 from framevitals.operators.statistics import per_column
 
 PAIRS_PER_PASS = 30
+#: Share of a column's variance that counts as none, and weight from which a column belongs to a dependency.
+SINGULAR, INVOLVED = 1e-9, 1e-6
 
 
 def corr_target(df: DataFrame, target: str) -> DataFrame:
@@ -53,22 +56,51 @@ def collinear_pairs(df: DataFrame, columns: Sequence[str] | None = None, limit:
 
 
 def variance_inflation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """column, vif from the correlation matrix; NULL where a column is an exact combination of others.
+    """column, vif, dependent_on: a row for every column, from the correlation matrix.
 
-    Spark computes the matrix; only its (columns x columns) numbers reach the driver.
+    ``vif`` is infinite (NULL here) for the columns of an exact linear dependency, and ``dependent_on`` then names the others of it;
+    all remaining columns keep their finite value. A column with one value has no correlation: NULL and 'constant'.
+    Columns enter in pivoted order, the one with most variance left first, so the dependency is found whatever the order
+    given. Spark computes the matrix; only its (columns x columns) numbers reach the driver.
     """
-    import numpy as np
-
     df = C.nan_to_null(df)
     names = list(columns) if columns is not None else C.numeric_columns(df)
-    r = {(row["x"], row["y"]): row["r"] for row in corr_matrix(df, names).collect()}
-    usable = [c for c in names if any(v is not None for k, v in r.items() if c in k)] if len(names) > 1 else names
+    spread = df.agg(*[F.stddev_samp(C.as_double(c)).alias(f"s{i}") for i, c in enumerate(names)]).first() if names else ()
+    usable = [c for i, c in enumerate(names) if spread[i]]
     matrix = np.eye(len(usable))
-    for i, a in enumerate(usable):
-        for j, b in enumerate(usable):
-            if i < j:
-                matrix[i, j] = matrix[j, i] = r[(a, b)] if r[(a, b)] is not None else 0.0
-    vif: list[float | None] = [None] * len(usable)
-    if usable and np.linalg.cond(matrix) < 1e12:
-        vif = [float(v) for v in np.diag(np.linalg.inv(matrix))]
-    return C.small_frame(df.sparkSession, "column string, vif double", list(zip(usable, vif)))
+    place = {c: i for i, c in enumerate(usable)}
+    for row in corr_matrix(df, usable).collect() if len(usable) > 1 else []:
+        i, j = place[row["x"]], place[row["y"]]
+        matrix[i, j] = matrix[j, i] = row["r"] if row["r"] is not None else 0.0
+    free, sets = _pivots(matrix)
+    inverse = np.linalg.inv(matrix[np.ix_(free, free)]) if free else np.eye(0)
+    vif: dict[str, float | None] = {usable[j]: float(inverse[k, k]) for k, j in enumerate(free)}
+    tied: dict[str, set[str]] = {}
+    for group in sets:
+        for j in group:
+            vif[usable[j]] = None
+            tied.setdefault(usable[j], set()).update(usable[i] for i in group if i != j)
+    rows = []
+    for c in names:
+        others = ",".join(x for x in names if x in tied.get(c, ())) or None
+        rows.append((c, vif.get(c), others) if c in place else (c, None, "constant"))
+    return C.small_frame(df.sparkSession, "column string, vif double, dependent_on string", rows)
+
+
+def _pivots(matrix: np.ndarray) -> tuple[list[int], list[list[int]]]:
+    """Pivoted Cholesky: the independent columns, and for each other one the set of columns that are exactly dependent with it."""
+    n = len(matrix)
+    left, factors, free = np.diag(matrix).copy(), np.zeros((n, n)), []
+    for k in range(n):
+        j = int(np.argmax(np.round(left, 12)))  # the first among equals
+        if left[j] <= SINGULAR:
+            break
+        factors[:, k] = (matrix[:, j] - factors[:, :k] @ factors[j, :k]) / np.sqrt(left[j])
+        left = left - factors[:, k] ** 2
+        free.append(j)
+        left[free] = -1.0
+    sets = []
+    for j in sorted(set(range(n)) - set(free)):
+        weights = np.linalg.solve(matrix[np.ix_(free, free)], matrix[free, j])
+        sets.append(sorted([j, *(i for i, w in zip(free, weights) if abs(w) > INVOLVED)]))
+    return sorted(free), sets

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framevitals.functions.ordered import in_parts
 from framevitals.sources.scratch import checkpointed
 
 NEIGHBOURS = 3
@@ -31,11 +32,6 @@ def digamma(n: Column) -> Column:
     return F.ln(z) - 0.5 / z - q * (1 / 12 - q * (1 / 120 - q * (1 / 252 - q * (1 / 240 - q / 132)))) - steps
 
 
-def _in_parts(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` dealt by ranges, with the number of their part; stored, so that the numbers stay."""
-    return checkpointed(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-
-
 def _around(rows: DataFrame, group: tuple[str, ...], k: int) -> DataFrame:
     """``near``: the k values on either side within the group as (distance, count), nearest first."""
     order = Window.partitionBy(*group).orderBy("x")
@@ -47,7 +43,7 @@ def _around(rows: DataFrame, group: tuple[str, ...], k: int) -> DataFrame:
 def _radii(points: DataFrame, k: int) -> DataFrame:
     """f, c, x, w, n_c, k and r of each distinct point of a label with two points or more."""
     sizes = points.groupBy("f", "c").agg(F.sum("w").alias("n_c")).where("n_c > 1")
-    parts = _in_parts(points, "f", "c", "x")
+    parts = in_parts(points, "f", "c", "x")
     within = ("part", "f", "c")
     place = F.row_number().over(Window.partitionBy(*within).orderBy("x"))
     rest = F.row_number().over(Window.partitionBy(*within).orderBy(F.desc("x")))
@@ -81,7 +77,7 @@ def _within(radii: DataFrame) -> DataFrame:
     high = F.struct((F.col("x") + F.col("r")).alias("v"), F.when(same, 2).otherwise(0).alias("s"), F.lit(1).alias("sign"))
     asked = radii.select("f", F.explode(F.array(low, high)).alias("e"), "c", "x", "w", "n_c", "k")
     asked = asked.select("f", "e.v", "e.s", F.lit(0).cast("long").alias("add"), "c", "x", "w", "n_c", "k", "e.sign")
-    parts = _in_parts(data.unionByName(asked), "f", "v", "s")
+    parts = in_parts(data.unionByName(asked), "f", "v", "s")
     totals = parts.groupBy("part", "f").agg(F.sum("add").alias("total"))
     before = F.sum("total").over(Window.partitionBy("f").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     # a row for each part and one more for each feature, at most

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,8 @@ def read_csv(
 ) -> DataFrame:
     """Read files with a header row. Missing tokens become NULL, then columns get types.
 
+    Files may have their columns in another order, or other columns: each group of files with one header is read by it, and
+    the groups are united by name (absent columns are NULL).
     With a ``schema`` nothing is inferred. Otherwise all values are looked at in one
     aggregate: int, float and bool are recognised; dates stay text, as CSV has no dates.
     """
@@ -57,8 +60,10 @@ def read_csv(
         .option("multiLine", multiline)
         .option("nullValue", "")
     )
-    paths = path if isinstance(path, str) else list(path)
-    text = reader.csv(paths)
+    groups = _by_header(spark, path)
+    text = reader.csv(groups[0])
+    for group in groups[1:]:
+        text = text.unionByName(reader.csv(group), allowMissingColumns=True)
     text = text.select(*[F.when(~C.ref(c).isin(list(missing)), C.ref(c)).alias(c) for c in text.columns])
     if schema is not None:
         return text.select(*[C.ref(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -76,6 +81,21 @@ def read_csv(
     return text.select(*out)
 
 
+def _by_header(spark: SparkSession, path: str | Sequence[str]) -> list[str | list[str]]:
+    """The paths to read together: as given if all files start with the same line, else the files of each first line.
+
+    Only the start of each file is looked at, by the task that has it; first lines combine to one row a file.
+    """
+    paths = path if isinstance(path, str) else list(path)
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    lines = spark.read.text(paths).select("value", file.alias("file"), start.alias("start"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    headers = lines.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))  # names, not data
+    if headers.limit(2).count() < 2:
+        return [paths]
+    return [[unquote(name) for name in row["files"]] for row in headers.orderBy(F.element_at("files", 1)).collect()]
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists") -> None:
     """Write with a header and second-precision timestamps; one file only on request."""
     out = df.coalesce(1) if single_file else df

@@ -120,6 +120,13 @@ def _(spark, sf_dir):
     return plain(cleaning.impute(blank_to_null(dirty(spark, sf_dir)), "o_orderpriority", "mode")[0], 4)
 
 
+@query("impute_constant_widened", "select event_id, coalesce(case when event_id % 5 > 0 then event_id end, 1.5)::double as n from events")
+def _(spark, sf_dir):
+    """A fraction in an integer column: the column becomes double, nothing is cut off."""
+    df = table(spark, sf_dir, "events").selectExpr("event_id", "if(event_id % 5 > 0, event_id, null) as n")
+    return plain(cleaning.impute(df, "n", "constant", 1.5)[0], 4)
+
+
 @query("impute_constant", shown(DIRTY, sparse_val="round(coalesce(sparse_val, -1), 4)"))
 def _(spark, sf_dir):
     return plain(cleaning.impute(dirty(spark, sf_dir), "sparse_val", "constant", -1)[0], 4)

@@ -161,6 +161,19 @@ def _(spark, sf_dir):
     return plain(csv.read_csv(spark, path), 4)
 
 
+@query(
+    "csv_scan_headers",
+    """select n_nationkey, n_name, case when n_nationkey % 2 = 0 then n_regionkey end as n_regionkey,
+    case when n_nationkey % 2 = 1 then 'odd' end as kind from nation""",
+)
+def _(spark, sf_dir):
+    """Files with another order of columns, and other columns, are united by name."""
+    path, nation = fresh_path(spark, "nation-csv"), table(spark, sf_dir, "nation")
+    csv.write_csv(nation.where("n_nationkey % 2 = 0").select("n_nationkey", "n_name", "n_regionkey"), f"{path}/a")
+    csv.write_csv(nation.where("n_nationkey % 2 = 1").selectExpr("n_name", "'odd' as kind", "n_nationkey"), f"{path}/b")
+    return plain(csv.read_csv(spark, [f"{path}/a", f"{path}/b"]).select("n_nationkey", "n_name", "n_regionkey", "kind"))
+
+
 @query("csv_roundtrip", AS_FILE)
 def _(spark, sf_dir):
     path, df = fresh_path(spark, "orders-csv"), dirty(spark, sf_dir)
@@ -238,6 +251,24 @@ def _(spark, sf_dir):
     return audit.geo_lookup(events, spark.sql(RANGES), small=0).select("event_id", "ip", "country")
 
 
+PLACES = """select event_id, (event_id * 37) % 150000 as n, event_id % 3 as k from events"""
+PLACED = f"""select event_id, case k when 0 then case when n < 32768 then 'A' when n < 196608 then 'B' else 'Unknown' end
+    when 1 then case when n = 5 then 'C' when n between 65536 and 65700 then 'D' else 'Unknown' end
+    else case when n < 65536 then 'E' when n between 65538 and 131071 then 'F' else 'Unknown' end end as country from ({PLACES})"""
+BLOCKS = """select * from values ('11.0.0.0', '11.0.127.255', 'A'), ('11.0.128.0', '11.2.255.255', 'B'), ('12.0.0.5', '12.0.0.5', 'C'),
+    ('12.1.0.0', '12.1.0.164', 'D'), ('2001:db8::', '2001:db8::ffff', 'E'), ('2001:db8::1:2', '2001:db8:0:0:0:0:1:ffff', 'F') as t(lo, hi, country)"""
+
+
+@query("audit_geo_blocks", PLACED)
+def _(spark, sf_dir):
+    """Ranges inside, across and beyond /16 blocks, single addresses, and IPv6."""
+    events = spark.sql(PLACES.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    quad = F.expr("concat_ws('.', if(k = 0, 11, 12), n div 65536, (n div 256) % 256, n % 256)")
+    six = F.expr("concat('2001:db8::', lower(hex(n div 65536)), ':', lower(hex(n % 65536)))")
+    placed = events.select("event_id", F.when(F.col("k") < 2, quad).otherwise(six).alias("ip"))
+    return audit.geo_lookup(placed, spark.sql(BLOCKS)).select("event_id", "country")
+
+
 @query(
     "audit_entries",
     f"""select cast(event_id as varchar) as entity, time, user_id, 'member' as role, slug, slug as delta_type, ip, country,

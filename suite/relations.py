@@ -91,4 +91,21 @@ def vif2_sql(a: str, b: str) -> str:
     union all select 'l_extendedprice', {vif2_sql('l_quantity', 'l_extendedprice')} from lineitem""",
 )
 def _(spark, sf_dir):
-    return plain(correlation.variance_inflation(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"]), 4)
+    found = correlation.variance_inflation(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"])
+    return plain(found.select("column", "vif"), 4)
+
+
+TWO = "(select corr(l_quantity, l_extendedprice) as r from lineitem)"
+
+
+@query(
+    "variance_inflation_singular",
+    f"""select 'quantity' as "column", null::double as vif, 'twice' as dependent_on union all select 'twice', null, 'quantity'
+    union all select 'price', round(1 / (1 - r * r), 4), null from {TWO} union all select 'fixed', null, 'constant'""",
+)
+def _(spark, sf_dir):
+    """A doubled column makes its pair infinite and no other; a constant has a row too."""
+    df = table(spark, sf_dir, "lineitem").selectExpr(
+        "cast(l_quantity as double) as quantity", "2 * cast(l_quantity as double) as twice", "l_extendedprice as price", "7.0D as fixed"
+    )
+    return plain(correlation.variance_inflation(df), 4)
