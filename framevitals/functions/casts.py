@@ -20,6 +20,24 @@ DATE_FORMATS = (
     "yyyy/MM/dd",
     "MM/dd/yyyy",
 )
+MORE_DATE_FORMATS = (
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "dd-MMM-yyyy",
+    "dd MMM yyyy",
+    "MMM dd, yyyy",
+    "MMMM dd, yyyy",
+    "dd MMMM yyyy",
+)
+ZONED_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mmXXX")
+#: The same digits may mean month and day or day and month: a column decides between the two by its values.
+EITHER_FIRST = (
+    ("MM/dd/yyyy", "dd/MM/yyyy"),
+    ("MM-dd-yyyy", "dd-MM-yyyy"),
+    ("MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss"),
+    ("MM/dd/yyyy HH:mm", "dd/MM/yyyy HH:mm"),
+)
 WHOLE_TOLERANCE = 1e-8
 NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
 WHOLE = r"^[+-]?\d+$"
@@ -62,8 +80,28 @@ def to_datetime(value: Column, family: str, formats: Sequence[str] = DATE_FORMAT
         return value.cast("timestamp_ntz")
     if family != C.STRING:
         return F.lit(None).cast("timestamp_ntz")
-    text = F.trim(value)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    return F.coalesce(*[_parsed(F.trim(value), f) for f in formats])
+
+
+def _parsed(text: Column, pattern: str) -> Column:
+    """The time of a text; one with a zone is brought to UTC."""
+    time = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+    return F.convert_timezone(None, F.lit("UTC"), time) if pattern.endswith("X") else time
+
+
+def vote_formats(df: DataFrame, column: str) -> tuple[str, ...]:
+    """The date formats that occur in a text column, most specific first, from one aggregate over all its values.
+
+    Where month and day may change places, the reading that more values allow wins for the whole column (month first, if
+    equally many), so that one column is never read both ways.
+    """
+    text = F.trim(C.ref(column))
+    plain = [*DATE_FORMATS[:-1], *MORE_DATE_FORMATS, *ZONED_FORMATS]
+    every = [*plain, *(f for pair in EITHER_FIRST for f in pair)]
+    row = df.agg(*[F.count(F.try_to_timestamp(text, F.lit(f))).alias(f"n{i}") for i, f in enumerate(every)]).first()
+    votes = {f: row[f"n{i}"] for i, f in enumerate(every)}
+    winners = [month if votes[month] >= votes[day] else day for month, day in EITHER_FIRST]
+    return tuple(f for f in [*plain, *winners] if votes[f]) or DATE_FORMATS
 
 
 def is_number(value: Column) -> Column:

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import types as T
 
 from framevitals.functions import casts
 from framevitals.functions import columns as C
@@ -56,12 +57,18 @@ def remove_duplicates(
     """Drop repeated rows; with ``subset`` compare only those columns.
 
     ``keep`` is 'first', 'last' or False (drop every repeated row). Spark rows have no file
-    order, so first and last are by ``order_by`` (then by the remaining columns).
+    order, so first and last are by ``order_by`` (then by the remaining columns). NaN is missing: it equals NULL and comes back
+    as NULL. Maps are equal when their entries are, in any order; the map of a kept row is as it was.
     """
     if keep not in ("first", "last", False):
         raise ValueError("keep must be 'first', 'last' or False")
     df = C.nan_to_null(df)
     names = list(subset) if subset else list(df.columns)
+    maps = [c for c in names if isinstance(df.schema[c].dataType, T.MapType)]
+    if maps:
+        entries = {f"__entries{i}": F.array_sort(F.map_entries(C.ref(c))) for i, c in enumerate(maps)}
+        keys = [*(c for c in names if c not in maps), *entries]
+        return remove_duplicates(df.withColumns(entries), keys, keep, order_by).drop(*entries)
     if keep is False:
         return _one_per_key(df, names, (), F.min if _orderable(df) else F.first, only_single=True)
     if not subset:
@@ -214,19 +221,25 @@ CAST_NAMES = {
 
 
 def cast_column(
-    df: DataFrame, column: str, method: str = "auto", formats: Sequence[str] = casts.DATE_FORMATS
+    df: DataFrame, column: str, method: str = "auto", formats: Sequence[str] | None = None
 ) -> tuple[DataFrame, dict[str, Any]]:
-    """Cast one column to date, float, int or bool, label-encode it, or pick by its values; (frame, log)."""
+    """Cast one column to date, float, int or bool, label-encode it, or pick by its values; (frame, log).
+
+    Text is read as dates by ``formats`` or, by default, by those that its values vote for. ``lost`` in the log counts the values that
+    did not fit the new type and are NULL now, if there are any.
+    """
     C.require(df, column)
     old = df.schema[column].dataType.simpleString()
-    kind = casts.infer_types(df, [column], formats)[column] if method == "auto" else CAST_NAMES.get(method)
+    kind = casts.infer_types(df, [column], formats or casts.DATE_FORMATS)[column] if method == "auto" else CAST_NAMES.get(method)
     if kind is None or (kind == "string" and method == "auto"):
         # the guess 'string' is not a cast: it is reported, and the data stays as it is
         raise ValueError(f"unsupported target type: {method if kind is None else kind}")
-    family, value = C.families(df)[column], C.ref(column)
+    family, value, lost = C.families(df)[column], C.ref(column), 0
     if kind == "encode":
         out = label_encode(df, column)
     else:
+        if formats is None:
+            formats = casts.vote_formats(df, column) if kind == "date" and family == C.STRING else casts.DATE_FORMATS
         made = {
             "date": lambda: casts.to_datetime(value, family, formats),
             "float": lambda: casts.to_float(value, family),
@@ -234,9 +247,11 @@ def cast_column(
             "bool": lambda: casts.to_bool(value, family),
             "string": lambda: value.cast("string"),
         }[kind]()
+        if method != "auto" and family == C.STRING:  # the guess of 'auto' fits all values
+            lost = C.nan_to_null(df.select(value)).agg(F.count_if(value.isNotNull() & made.isNull())).first()[0]
         out = df.withColumn(column, made)
     new = out.schema[column].dataType.simpleString()
-    return out, {"column": column, "strategy_used": kind, "old_type": old, "new_type": new, "success": True}
+    return out, {"column": column, "strategy_used": kind, "old_type": old, "new_type": new, "success": True} | ({"lost": lost} if lost else {})
 
 
 def encoding(df: DataFrame, column: str, small: int = SMALL_DICTIONARY) -> tuple[DataFrame, int]:

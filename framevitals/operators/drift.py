@@ -21,7 +21,8 @@ def drift_psi(old: DataFrame, new: DataFrame, columns: Sequence[str] | None = No
     """column, psi, band: population stability index between two frames.
 
     Numbers are cut at the exact quantiles of ``old``; text and booleans use their values,
-    and missing is a group of its own. Both sides shrink to one row per (column, group) first.
+    and missing is a group of its own. Both sides shrink to one row per (column, group) first. Where a column's type
+    has changed family, ``new`` is read as the old type where its values allow (the others are a group), and the band is 'type changed'.
     """
     old, new = C.nan_to_null(old), C.nan_to_null(new)
     shared = [c for c in old.columns if c in new.columns] if columns is None else list(columns)
@@ -31,14 +32,16 @@ def drift_psi(old: DataFrame, new: DataFrame, columns: Sequence[str] | None = No
     cuts = exact_quantiles(old, numeric, [i / bins for i in range(1, bins)])
 
     def grouped(df: DataFrame, name: str) -> DataFrame:
-        cells = []
+        cells, own = [], C.families(df)
         for i, c in enumerate(shared):
             v = C.ref(c)
             if c in numeric:
-                number = bin_number(v.cast("double"), [e for e in cuts[c] if e is not None])
-                group = F.when(v.isNotNull(), number.cast("string"))
+                x = v.cast("double") if own[c] in (C.INTEGER, C.FRACTIONAL) else v.cast("string").try_cast("double")
+                number = bin_number(x, [e for e in cuts[c] if e is not None])
+                group = F.when(x.isNotNull(), number.cast("string")).when(v.isNotNull(), "no number")
             elif families[c] == C.DATETIME:
-                group = F.date_format(v, "yyyy-MM")
+                at = v if own[c] == C.DATETIME else v.cast("string").try_cast("timestamp")
+                group = F.when(v.isNotNull(), F.coalesce(F.date_format(at, "yyyy-MM"), F.lit("no date")))
             else:
                 group = H.text_key(v.cast("string"))
             cells += [F.lit(i), group]
@@ -47,6 +50,8 @@ def drift_psi(old: DataFrame, new: DataFrame, columns: Sequence[str] | None = No
 
     if not shared:
         return C.small_frame(old.sparkSession, "column string, psi double, band string", [])
+    now, numbers = C.families(new), (C.INTEGER, C.FRACTIONAL)
+    changed = [i for i, c in enumerate(shared) if now[c] != families[c] and not (now[c] in numbers and families[c] in numbers)]
     sides = [
         grouped(df, "n").select("cid", "grp", *[F.when(F.lit(i == j), F.col("n")).alias(f"n{j}") for j in (0, 1)])
         for i, df in enumerate((old, new))
@@ -62,7 +67,8 @@ def drift_psi(old: DataFrame, new: DataFrame, columns: Sequence[str] | None = No
     return psi.select(
         F.get(F.array(*[F.lit(c) for c in shared]), F.col("cid")).alias("column"),
         F.round("psi", 4).alias("psi"),
-        F.when(F.col("psi") < PSI_STABLE, "stable")
+        F.when(F.col("cid").isin(changed), "type changed")
+        .when(F.col("psi") < PSI_STABLE, "stable")
         .when(F.col("psi") < PSI_SHIFTED, "shifted")
         .otherwise("drifted")
         .alias("band"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from framevitals.functions import casts
 from framevitals.functions.columns import blank_to_null, sanitize_names, small_frame
 from framevitals.operators import cleaning
@@ -175,6 +177,37 @@ def _(spark, sf_dir):
     return plain(cleaning.cast_column(numbers(spark, sf_dir).select("event_id", "date_text"), "date_text", "date")[0])
 
 
+TIMES = "select event_id, ts, event_id % 8 as k from events"
+AS_TIMES = f"""select event_id, case k when 0 then date_trunc('second', ts) when 1 then date_trunc('day', ts) when 2 then date_trunc('minute', ts)
+    when 3 then date_trunc('day', ts) when 4 then date_trunc('day', ts) when 5 then date_trunc('day', ts)
+    when 7 then date_trunc('second', ts) - interval 2 hour end as t from ({TIMES})"""
+
+
+@query("cast_date_formats", f"select event_id, {stamp('t')} as time_text from ({AS_TIMES})")
+def _(spark, sf_dir):
+    """Zones, minutes only, month names, and day first by the vote of the column."""
+    patterns = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "dd-MMM-yyyy", "yyyy-MM-dd HH:mm", "dd/MM/yyyy", "MMMM dd, yyyy", "yyyy-MM-dd", "'sometime'", "yyyy-MM-dd'T'HH:mm:ss'+02:00'"]
+    text = F.coalesce(*[F.when(F.col("event_id") % 8 == i, F.date_format("ts", p)) for i, p in enumerate(patterns)])
+    df = table(spark, sf_dir, "events").select("event_id", text.alias("time_text"))
+    return plain(cleaning.cast_column(df, "time_text", "date")[0])
+
+
+@query("cast_date_log", f"select count(*) filter (where k = 6) as lost, count(*) as rows from ({TIMES})")
+def _(spark, sf_dir):
+    """Values that are no date are counted in the log."""
+    df = table(spark, sf_dir, "events").selectExpr("if(event_id % 8 = 6, 'sometime', date_format(ts, 'dd/MM/yyyy HH:mm')) as t")
+    return spark.createDataFrame([(cleaning.cast_column(df, "t", "date")[1]["lost"], df.count())], "lost bigint, rows bigint")
+
+
+@query("dedupe_maps", "select distinct l_returnflag, l_linestatus, l_linenumber from lineitem")
+def _(spark, sf_dir):
+    """Maps with the same entries in another order are the same row."""
+    df = table(spark, sf_dir, "lineitem").selectExpr(
+        "if(l_orderkey % 2 = 0, map('f', l_returnflag, 's', l_linestatus), map('s', l_linestatus, 'f', l_returnflag)) as m", "l_linenumber"
+    )
+    return plain(cleaning.remove_duplicates(df).selectExpr("m['f'] as l_returnflag", "m['s'] as l_linestatus", "l_linenumber"))
+
+
 @query("cast_encode", "select p_partkey, dense_rank() over (order by p_type) - 1 as p_type, p_brand from part")
 def _(spark, sf_dir):
     return plain(cleaning.label_encode(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand"), "p_type"))

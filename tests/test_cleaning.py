@@ -143,3 +143,25 @@ def test_declared_types(spark, one):
     out = cleaning.apply_schema(df, {"v": "int", "nope": "int"})
     assert one(column_report(out))["v"]["missing"] == 1
     assert out.where(F.col("v") == 1).count() == 1
+
+
+def test_type_change_in_drift(spark):
+    from framevitals.operators.drift import drift_psi
+
+    old = spark.range(1000).selectExpr("id as n", "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 60 as int)) as t", "id as same")
+    new = spark.range(1000).selectExpr("if(id % 10 = 0, 'n/a', cast(id as string)) as n", "cast('2024-01-05' as string) as t", "cast(id as double) as same")
+    got = {r["column"]: r for r in drift_psi(old, new).collect()}
+    assert {c: r["band"] for c, r in got.items()} == {"n": "type changed", "t": "type changed", "same": "stable"}
+    assert 0.3 < got["n"]["psi"] < 1.5
+
+
+def test_constants_that_do_not_fit(spark):
+    import pytest
+
+    from framevitals.operators.cleaning import impute
+
+    df = spark.createDataFrame([(1,), (None,)], "n int")
+    assert sorted(r[0] for r in impute(df, "n", "constant", 1.5)[0].collect()) == [1.0, 1.5]
+    assert sorted(r[0] for r in impute(df, "n", "constant", "7")[0].collect()) == [1, 7]
+    with pytest.raises(ValueError, match="no value"):
+        impute(df, "n", "constant", "abc")
