@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framevitals.functions import net
 from framevitals.functions.ordered import last_before
-from framevitals.operators.lookup import SMALL_DICTIONARY, attach
+from framevitals.operators.lookup import SMALL_BYTES, attach
 from framevitals.sources.scratch import checkpointed
 
 UNKNOWN = "Unknown"
@@ -21,7 +21,7 @@ def public_only(events: DataFrame, ip: str = "ip") -> DataFrame:
     return events.where(~net.is_local(F.col(ip)))
 
 
-def geo_lookup(events: DataFrame, ranges: DataFrame, ip: str = "ip", small: int = SMALL_DICTIONARY) -> DataFrame:
+def geo_lookup(events: DataFrame, ranges: DataFrame, ip: str = "ip", small: int = SMALL_BYTES) -> DataFrame:
     """Add ``country`` from non-overlapping ``ranges`` (lo, hi, country); 'Unknown' without a match.
 
     ``lo`` and ``hi`` are addresses as text, IPv4 or IPv6, or IPv4 numbers. Each distinct address is looked up once, by
@@ -39,7 +39,7 @@ def geo_lookup(events: DataFrame, ranges: DataFrame, ip: str = "ip", small: int
     near = last_before(rows, "found", "at", "kind").where("kind = 1")
     inside = (F.col("at") <= F.col("found.hi")) & (F.length("at") == F.length("found.hi"))
     answers = checkpointed(near.where(inside).select("value", F.col("found.country").alias("found"), "n"))
-    found = attach(events, F.col(ip), answers, "__country", answers.count(), small)
+    found = attach(events, F.col(ip), answers, "__country", small)
     return found.select(*events.columns, F.coalesce("__country", F.lit(UNKNOWN)).alias("country"))
 
 

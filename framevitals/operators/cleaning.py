@@ -14,8 +14,9 @@ from framevitals.functions import casts
 from framevitals.functions import columns as C
 from framevitals.functions import histogram as H
 from framevitals.functions.moments import adjusted_skewness
+from framevitals.functions.ordered import in_parts
 from framevitals.functions.quantiles import exact_quantiles
-from framevitals.operators.lookup import SMALL_DICTIONARY, attach
+from framevitals.operators.lookup import SMALL_BYTES, attach
 from framevitals.sources.scratch import checkpointed
 
 SKEW_LIMIT = 1.0
@@ -254,12 +255,11 @@ def cast_column(
     return out, {"column": column, "strategy_used": kind, "old_type": old, "new_type": new, "success": True} | ({"lost": lost} if lost else {})
 
 
-def encoding(df: DataFrame, column: str, small: int = SMALL_DICTIONARY) -> tuple[DataFrame, int]:
-    """(value, code, n) with codes 0.. in value order, and the number of values.
+def encoding(df: DataFrame, column: str) -> DataFrame:
+    """(value, code, n) with codes 0.. in value order.
 
-    Up to ``small`` values one sorted window numbers them. Beyond that the values are range
-    partitioned, numbered inside each partition, and shifted by the sizes of the earlier
-    partitions; the partitioned values are checkpointed so that a retry cannot move them.
+    Distinct values are dealt by ranges, numbered inside each part and shifted by the sizes of the parts before it, at every
+    size alike; no task sees more values than its range holds.
     """
     C.require(df, column)
     values = (
@@ -268,27 +268,17 @@ def encoding(df: DataFrame, column: str, small: int = SMALL_DICTIONARY) -> tuple
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    size = values.count()
-    if size <= small:
-        code = F.row_number().over(Window.orderBy("value")) - 1
-        return values.select("value", code.cast("bigint").alias("code"), "n"), size
-    ranged = checkpointed(values.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
-    sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offset, shifts = 0, []
-    for part in sorted(sizes):
-        shifts.append((part, offset))
-        offset += sizes[part]
-    offsets = C.small_frame(df.sparkSession, "part int, shift bigint", shifts)
+    parts = in_parts(values, "value")
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    shifts = sizes.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("shift"))
     local = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
-    numbered = ranged.withColumn("local", local).join(F.broadcast(offsets), "part")
-    return numbered.select("value", (F.col("local") + F.col("shift")).cast("bigint").alias("code"), "n"), size
+    numbered = parts.withColumn("local", local).join(F.broadcast(shifts), "part")
+    return numbered.select("value", (F.col("local") + F.col("shift")).cast("bigint").alias("code"), "n")
 
 
-def label_encode(df: DataFrame, column: str, small: int = SMALL_DICTIONARY) -> DataFrame:
+def label_encode(df: DataFrame, column: str, small: int = SMALL_BYTES) -> DataFrame:
     """Replace values by their rank (0..) among the sorted distinct values; NULL stays NULL."""
-    dictionary, size = encoding(df, column, small)
-    if size > small:
-        dictionary = checkpointed(dictionary)
-    entries = dictionary.select("value", F.col("code").alias("found"), "n")
-    coded = attach(C.nan_to_null(df), C.ref(column), entries, "__code", size, small)
+    entries = checkpointed(encoding(df, column)).select("value", F.col("code").alias("found"), "n")
+    coded = attach(C.nan_to_null(df), C.ref(column), entries, "__code", small)
     return coded.select(*[F.col("__code").alias(c) if c == column else C.ref(c) for c in df.columns])

@@ -12,6 +12,7 @@ from framevitals.functions import bands, casts
 from framevitals.functions import columns as C
 from framevitals.functions import histogram as H
 from framevitals.operators.lookup import attach
+from framevitals.sources.scratch import checkpointed
 from framevitals.operators.statistics import per_column
 
 UNIT_PATTERN = r"^\s*[-+]?[0-9][0-9.,]*\s*([A-Za-z%°µ]+)\s*$"
@@ -156,10 +157,9 @@ def category_variants(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 def normalize_categories(df: DataFrame, column: str) -> DataFrame:
     """Replace every spelling variant by the preferred one; rows without variants are untouched."""
     C.require(df, column)
-    entries = category_variants(df, [column]).select(
-        F.col("normal").alias("value"), F.col("preferred").alias("found"), "n"
-    )
-    fixed = attach(df, F.lower(F.trim(C.ref(column))), entries, "__preferred", entries.count())
+    variants = category_variants(df, [column])
+    entries = checkpointed(variants.select(F.col("normal").alias("value"), F.col("preferred").alias("found"), "n"))
+    fixed = attach(df, F.lower(F.trim(C.ref(column))), entries, "__preferred")
     value = F.coalesce("__preferred", C.ref(column))
     return fixed.select(*[value.alias(c) if c == column else C.ref(c) for c in df.columns])
 

@@ -222,6 +222,12 @@ def _(spark, sf_dir):
     return plain(cleaning.label_encode(df, "o_custkey", small=0))  # the way taken beyond the size check
 
 
+@query("cast_encode_texts", "select doc_id, dense_rank() over (order by text) - 1 as text from documents")
+def _(spark, sf_dir):
+    """Long texts as values: the dictionary is dealt by ranges, and its bytes decide how it is attached."""
+    return plain(cleaning.label_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", small=1 << 20))
+
+
 @query("cast_auto", f"select event_id, try_cast(whole_text as bigint) as whole_text from ({NUMBERS})")
 def _(spark, sf_dir):
     return plain(cleaning.cast_column(numbers(spark, sf_dir).select("event_id", "whole_text"), "whole_text", "auto")[0])

@@ -28,9 +28,8 @@ def test_attach_keeps_every_row(spark):
     df = spark.range(6000).selectExpr("id", "if(id % 3 = 0, 0, if(id % 11 = 0, null, id)) as k")
     entries = df.where("k is not null").groupBy(F.col("k").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     entries = entries.where("value % 2 = 0").withColumn("found", F.col("value") + 1)
-    size = entries.count()
-    small = lookup.attach(df, F.col("k"), entries, "out", size)
-    large = lookup.attach(df, F.col("k"), entries, "out", size, small=0)
+    small = lookup.attach(df, F.col("k"), entries, "out")
+    large = lookup.attach(df, F.col("k"), entries, "out", small=0)
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
     assert large.count() == 6000
     plan = large._jdf.queryExecution().executedPlan().toString()
