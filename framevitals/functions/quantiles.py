@@ -153,7 +153,10 @@ def _wanted(counted: dict[str, np.ndarray], mine: slice, base: int, ranks: set[i
 
 def _first(values: DataFrame, columns: range, probs, counts: list[int], found) -> list[_Zone]:
     """The round over signs and exponents: at most ``SPAN`` keys a column."""
-    counted = _counted(values, {i: F.lit(i * SPAN + ENDS) + _exponent(F.col(f"v{i}")) for i in columns})
+    # one row a value before the digit is taken: the expression is long, and once in the generated code is enough
+    cells = [c for i in columns for c in (F.lit(i), F.col(f"v{i}"))]
+    long = values.select(F.stack(F.lit(len(columns)), *cells).alias("column", "v0")).where("v0 is not null")
+    counted = _counted(long, {0: F.col("column") * SPAN + ENDS + _exponent(F.col("v0"))})
     zones = []
     for i in columns:
         mine = slice(*np.searchsorted(counted["key"], [i * SPAN, (i + 1) * SPAN]).tolist())
