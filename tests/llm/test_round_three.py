@@ -158,7 +158,7 @@ SECRET = "password = hunter2secret"
         ("tok%65n:abcdefghi", {"assign:0:17"}),
         ("".join(f"\\u{ord(c):04x}" for c in SECRET), {"assign:0:144"}),
         ("é" + "".join(f"&#x{ord(c):x};" for c in SECRET), {f"assign:1:{1 + 6 * 24}"}),
-        ("to\u212aen=abcdefghij ſecret=abcdefghij toKen=abcdefgh", {"assign:34:48"}),
+        ("to\u212aen=abcdefghij ſecret=abcdefghij toKen=abcdefgh", {"assign:35:49"}),
         ("token=abcdefg AKIA" + "A" * 11 + " " + "a" * 31, set()),
         ("API-key API_KEY:'ABCD/efg+=' AKIA" + "9" * 12 + "x " + "0f" * 16, {"assign:8:27", "access:29:45", "hex:47:79"}),
         ("%" + "25" * 20_000 + "41 token=abc", {"hex:1:40003"}),
