@@ -40,14 +40,25 @@ def _around(rows: DataFrame, group: tuple[str, ...], k: int) -> DataFrame:
     return rows.withColumn("near", F.array_sort(F.filter(F.array(*sides), lambda s: s["d"].isNotNull())))
 
 
+def reach(k: str, w: str, near: str) -> Column:
+    """Distance of the ``k``-th other point, where the point is there ``w`` times and ``near`` lists (d, w), nearest first."""
+    start = F.struct((F.col(k) - F.col(w) + 1).alias("left"), F.lit(0.0).alias("r"))
+    return F.aggregate(
+        near,
+        start,
+        lambda had, s: F.when(had["left"] <= 0, had).otherwise(F.struct((had["left"] - s["w"]).alias("left"), s["d"].alias("r"))),
+        lambda had: had["r"],
+    )
+
+
 def _radii(points: DataFrame, k: int) -> DataFrame:
     """f, c, x, w, n_c, k and r of each distinct point of a label with two points or more."""
     sizes = points.groupBy("f", "c").agg(F.sum("w").alias("n_c")).where("n_c > 1")
     parts = in_parts(points, "f", "c", "x")
-    within = ("part", "f", "c")
-    place = F.row_number().over(Window.partitionBy(*within).orderBy("x"))
-    rest = F.row_number().over(Window.partitionBy(*within).orderBy(F.desc("x")))
-    near = _around(parts, within, k).withColumn("place", F.least(place, rest))
+    here = ("part", "f", "c")
+    place = F.row_number().over(Window.partitionBy(*here).orderBy("x"))
+    rest = F.row_number().over(Window.partitionBy(*here).orderBy(F.desc("x")))
+    near = _around(parts, here, k).withColumn("place", F.least(place, rest))
     span = parts.groupBy("f", "c").agg((F.max("part") > F.min("part")).alias("spans"))
     near = near.join(span, ["f", "c"])
     edge = F.col("spans") & (F.col("place") <= k)
@@ -56,17 +67,10 @@ def _radii(points: DataFrame, k: int) -> DataFrame:
     across = _around(near.where(F.col("spans") & (F.col("place") <= 2 * k)).drop("near"), ("f", "c"), k).where(F.col("place") <= k)
     both = inner.unionByName(across).join(sizes, ["f", "c"])
     both = both.withColumn("k", F.least(F.lit(k).cast("long"), F.col("n_c") - 1))
-    start = F.struct((F.col("k") - F.col("w") + 1).alias("left"), F.lit(0.0).alias("r"))
-    reach = F.aggregate(
-        "near",
-        start,
-        lambda had, s: F.when(had["left"] <= 0, had).otherwise(F.struct((had["left"] - s["w"]).alias("left"), s["d"].alias("r"))),
-        lambda had: had["r"],
-    )
-    return both.select("f", "c", "x", "w", "n_c", "k", reach.alias("r"))
+    return both.select("f", "c", "x", "w", "n_c", "k", reach("k", "w", "near").alias("r"))
 
 
-def _within(radii: DataFrame) -> DataFrame:
+def within(radii: DataFrame) -> DataFrame:
     """``radii`` as (f, w, n_c, k, m): m points of the feature lie closer than r."""
     data = radii.groupBy("f", F.col("x").alias("v")).agg(F.sum("w").alias("add")).withColumn("s", F.lit(1))
     none = [F.lit(None).cast(t).alias(n) for n, t in (("c", radii.schema["c"].dataType), ("x", "double"), ("w", "long"), ("n_c", "long"), ("k", "long"))]
@@ -91,7 +95,7 @@ def _within(radii: DataFrame) -> DataFrame:
 def neighbour_information(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(f, mi): mutual information in nats of c and x for each f; ``rows`` has f, c and x (double, without NaN)."""
     points = rows.where("c is not null and x is not null").groupBy("f", "c", F.expr("x + 0.0D").alias("x")).agg(F.count(F.lit(1)).alias("w"))
-    found = _within(checkpointed(_radii(points, k)))
+    found = within(checkpointed(_radii(points, k)))
     w = F.col("w").cast("double")
     mean = F.sum(w * (digamma(F.col("k")) - digamma(F.col("n_c")) - digamma(F.col("m")))) / F.sum(w)
     return found.groupBy("f").agg(F.greatest(F.lit(0.0), digamma(F.sum("w")) + mean).alias("mi"))

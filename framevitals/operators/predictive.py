@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from framevitals.functions import histogram as H
 from framevitals.functions.moments import pearson
 from framevitals.functions.quantiles import bin_number, exact_quantiles
 from framevitals.operators.neighbours import NEIGHBOURS, neighbour_information
+from framevitals.operators.plane import plane_information
 from framevitals.operators.profile import column_report
 
 # Limits and weights that results must agree on.
@@ -213,8 +215,8 @@ def mutual_information_knn(df: DataFrame, target: str, k: int = NEIGHBOURS) -> D
     """position, feature, discrete, method, mi (nats) over all rows with a target.
 
     A continuous feature with a classification target, and a discrete feature with a continuous target, are estimated from
-    their ``k`` nearest neighbours (method ``neighbours``), without bins. Two discrete sides are counted (``table``), two continuous
-    ones binned as in ``mutual_information`` (``bins``). A feature with no label of two rows has 0.
+    their ``k`` nearest neighbours (method ``neighbours``), two continuous sides from those in the plane (``plane``), both without
+    bins. Two discrete sides are counted (``table``). A feature with no label of two rows has 0.
     """
     name = C.check_target(df, target)
     known = drop_missing_target(df, name)
@@ -224,24 +226,32 @@ def mutual_information_knn(df: DataFrame, target: str, k: int = NEIGHBOURS) -> D
         return C.small_frame(spark, "position int, feature string, discrete boolean, method string, mi double", [])
     family = C.families(df)[name]
     near = [(i, f) for i, f in enumerate(made) if f.discrete != classify]
-    other = [(i, f) for i, f in enumerate(made) if f.discrete == classify]
+    other = [(i, f) for i, f in enumerate(made) if f.discrete and classify]
+    plane = [(i, f) for i, f in enumerate(made) if not f.discrete and not classify]
+    number = C.micros(C.ref(name)).cast("double") if family == C.DATETIME else C.as_double(name) if not classify else None
     found = []
     if near:
         if classify:
             label = H.text_key(C.ref(name).cast("string"))
             cells = [F.struct(F.lit(i).alias("f"), label.alias("c"), f.value.cast("double").alias("x")) for i, f in near]
         else:
-            number = C.micros(C.ref(name)).cast("double") if family == C.DATETIME else C.as_double(name)
             cells = [F.struct(F.lit(i).alias("f"), H.text_key(f.value.cast("string")).alias("c"), number.alias("x")) for i, f in near]
         rows = known.select(F.inline(F.array(*cells)))
         found.append(neighbour_information(rows, k).select(F.col("f").alias("position"), "mi"))
+    if plane:
+        cells = [F.struct(F.lit(i).alias("f"), f.value.cast("double").alias("x"), number.alias("y")) for i, f in plane]
+        found.append(plane_information(known.select(F.inline(F.array(*cells))), k).select(F.col("f").alias("position"), "mi"))
     if other:
         places = F.array(*[F.lit(i) for i, _ in other])
         counted = _information(known, [f for _, f in other], _target_key(name, family, classify, edges), [F.lit(1).cast("bigint")])
         found.append(counted.select(F.get(places, F.col("position")).alias("position"), F.col("mi_0").alias("mi")))
-    listed = [(i, f.name, f.discrete, "neighbours" if f.discrete != classify else "table" if classify else "bins") for i, f in enumerate(made)]
+
+    def method(f: Feature) -> str:
+        return ("table" if f.discrete else "neighbours") if classify else ("neighbours" if f.discrete else "plane")
+
+    listed = [(i, f.name, f.discrete, method(f)) for i, f in enumerate(made)]
     frame = C.small_frame(spark, "position int, feature string, discrete boolean, method string", listed)
-    values = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    values = reduce(DataFrame.unionByName, found)
     return frame.join(values, "position", "left").fillna(0.0, ["mi"])
 
 

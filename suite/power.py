@@ -250,6 +250,47 @@ def _(spark, sf_dir):
     return plain(predictive.mutual_information_knn(df, "c_acctbal"), 4)
 
 
+def kraskov_sql(source: str, x: str, y: str, k: int = 3) -> str:
+    """The nearest-neighbour estimate in the plane by ranking all distances, for a small table."""
+    return f"""(with p0 as (select row_number() over () as i, cast({x} as double) as x, cast({y} as double) as y from ({source}) where {x} is not null and {y} is not null),
+        sd as (select stddev_pop(x) / stddev_pop(y) as ratio, stddev_pop(x) > 0 and stddev_pop(y) > 0 as spread from p0),
+        u as (select case when spread then round(ratio / pow(2, floor(log2(ratio)) - 9)) * pow(2, floor(log2(ratio)) - 9) else 1.0 end as f from sd),
+        p as (select i, x, y * f as y, least({k}, count(*) over () - 1) as k from p0, u),
+        d as (select a.i, a.x, a.y, a.k, list_extract(list_sort(list(greatest(abs(b.x - a.x), abs(b.y - a.y)))), any_value(a.k)) as r
+              from p a join p b on a.i <> b.i group by all),
+        m as (select d.i, d.k, count(*) filter (case when r > 0 then b.x > d.x - r and b.x < d.x + r else b.x = d.x end) as mx,
+              count(*) filter (case when r > 0 then b.y > d.y - r and b.y < d.y + r else b.y = d.y end) as my from d, p b group by all),
+        h as (select i + 1 as i, -0.5772156649015329 + sum(1.0::double / i) over (order by i) as psi from range(1, (select count(*) + 1 from p)) as t(i)
+              union all select 1, -0.5772156649015329),
+        s as (select avg(hk.psi - hx.psi - hy.psi) as v from m join h hk on hk.i = m.k join h hx on hx.i = m.mx join h hy on hy.i = m.my)
+        select greatest(0.0, v + (select psi from h where i = (select count(*) from p))) from s)"""
+
+
+@query(
+    "mi_knn_plane",
+    union(
+        [
+            _knn_row(0, "c_custkey", False, "plane", kraskov_sql(CUSTOMER, "c_custkey", "c_acctbal")),
+            _knn_row(1, "c_nationkey", True, "neighbours", ross_sql(CUSTOMER, "c_nationkey", "c_acctbal")),
+            _knn_row(2, "c_mktsegment", True, "neighbours", ross_sql(CUSTOMER, "c_mktsegment", "c_acctbal")),
+        ]
+    ),
+)
+def _(spark, sf_dir):
+    """All features against a continuous target; those that are continuous too by neighbours in the plane."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return plain(predictive.mutual_information_knn(df, "c_acctbal"), 4)
+
+
+PART = "select p_partkey, p_retailprice from part"
+
+
+@query("mi_knn_part", _knn_row(0, "p_partkey", False, "plane", kraskov_sql(PART, "p_partkey", "p_retailprice")))
+def _(spark, sf_dir):
+    """A feature that the target depends on but by no straight line."""
+    return plain(predictive.mutual_information_knn(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice"), 4)
+
+
 EXTREME = """select case when l_orderkey % 3 = 0 then 42.0::double when l_linenumber = 1 then l_extendedprice::double * 1e300
     when l_linenumber = 2 then l_extendedprice::double * 1e-300 when l_linenumber = 3 then l_extendedprice::double * -1e-315
     when l_linenumber = 4 then 'Infinity'::double when l_linenumber = 5 then '-Infinity'::double else -l_extendedprice::double end as v from lineitem"""
