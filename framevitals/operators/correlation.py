@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framevitals.functions import bands
 from framevitals.functions import columns as C
 from framevitals.functions.moments import pearson
 from framevitals.operators.statistics import per_column
+from framevitals.sources.scratch import checkpointed
 
-PAIRS_PER_PASS = 30
+PRODUCTS = "i int, j int, n long, mx double, my double, xy double, xx double, yy double"
 #: Share of a column's variance that counts as none, and weight from which a column belongs to a dependency.
 SINGULAR, INVOLVED = 1e-9, 1e-6
 
@@ -32,22 +33,64 @@ def corr_target(df: DataFrame, target: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """x, y, r for every pair of numeric columns (x before y), pairwise complete.
+    """x, y, r for every pair of numeric columns (x before y), pairwise complete, from one scan of the data.
 
-    Pairs are aggregated in bounded batches, each a column-pruned one-row aggregate: wide
-    frames neither overflow generated code nor expand rows into pairs.
+    Each task keeps the cross products of its rows as matrices, missing values masked out, and gives one row for each pair at its
+    end; these combine in Spark. r is NULL where a side has one value, or no rows have both sides, and NaN where infinities meet.
     """
     df = C.nan_to_null(df)
     names = list(columns) if columns is not None else C.numeric_columns(df)
-    pairs = list(combinations(names, 2))
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        batch = pairs[start : start + PAIRS_PER_PASS]
-        wide = df.agg(*[pearson(C.as_double(a), C.as_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(batch)])
-        cells = [c for i, (a, b) in enumerate(batch) for c in (F.lit(a), F.lit(b), F.col(f"r{i}"))]
-        part = wide.select(F.stack(F.lit(len(batch)), *cells).alias("x", "y", "r"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else C.small_frame(df.sparkSession, "x string, y string, r double", [])
+    if len(names) < 2:
+        return C.small_frame(df.sparkSession, "x string, y string, r double", [])
+    parts = df.select(*[C.as_double(c).alias(f"c{i}") for i, c in enumerate(names)]).mapInArrow(_cross_products, PRODUCTS)
+    parts = checkpointed(parts)
+    # means from a base that the parts share, so that equal values leave exactly 0
+    pair = Window.partitionBy("i", "j")
+    dx, dy, n = F.col("mx") - F.min("mx").over(pair), F.col("my") - F.min("my").over(pair), F.col("n")
+    sums = parts.select("i", "j", "n", "xy", "xx", "yy", dx.alias("dx"), dy.alias("dy")).groupBy("i", "j")
+    total, sx, sy = F.sum("n"), F.sum(n * F.col("dx")), F.sum(n * F.col("dy"))
+    joint = F.sum(F.col("xy") + n * F.col("dx") * F.col("dy")) - sx * sy / total
+    spread_x = F.sum(F.col("xx") + n * F.col("dx") * F.col("dx")) - sx * sx / total
+    spread_y = F.sum(F.col("yy") + n * F.col("dy") * F.col("dy")) - sy * sy / total
+    spread = F.sqrt(spread_x) * F.sqrt(spread_y)
+    found = sums.agg((joint / F.nullif(spread, F.lit(0.0))).alias("r"))
+    last = len(names) - 1
+    pairs = df.sparkSession.range(last).select(F.col("id").cast("int").alias("i"))
+    pairs = pairs.select("i", F.explode(F.sequence(F.col("i") + 1, F.lit(last))).alias("j"))
+    label = F.array(*[F.lit(c) for c in names])
+    return pairs.join(found, ["i", "j"], "left").select(F.get(label, F.col("i")).alias("x"), F.get(label, F.col("j")).alias("y"), "r")
+
+
+def _cross_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per pair of columns: rows with both sides, their means, and the centred products, of all batches of a task."""
+    base = total = None
+    for batch in batches:
+        values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if not len(values):
+            continue
+        there = ~np.isnan(values)
+        # the first value of a column that the task meets: its distance to itself is 0
+        first = np.where(there.any(axis=0), values[there.argmax(axis=0), np.arange(values.shape[1])], np.nan)
+        base = first if base is None else np.where(np.isnan(base), first, base)
+        with np.errstate(invalid="ignore", over="ignore"):
+            moved = np.where(there, values - np.where(np.isnan(base), 0.0, base), 0.0)
+            mask = there.astype(np.float64)
+            sums = np.stack((mask.T @ mask, moved.T @ mask, moved.T @ moved, (moved * moved).T @ mask))
+            total = sums if total is None else total + sums
+    if total is None:
+        return
+    i, j = np.triu_indices(len(base), 1)
+    n, x, xy, xx = total
+    keep = n[i, j] > 0
+    i, j = i[keep], j[keep]
+    with np.errstate(invalid="ignore", over="ignore"):
+        count, sx, sy = n[i, j], x[i, j], x[j, i]
+        columns = [
+            count.astype(np.int64), base[i] + sx / count, base[j] + sy / count,
+            xy[i, j] - sx * sy / count, xx[i, j] - sx * sx / count, xx[j, i] - sy * sy / count,
+        ]
+    arrays = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *map(pa.array, columns)]
+    yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", "n", "mx", "my", "xy", "xx", "yy"])
 
 
 def collinear_pairs(df: DataFrame, columns: Sequence[str] | None = None, limit: float = 0.9) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,40 +138,43 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def validate_source(spark: SparkSession, path: str, max_bytes: int | None = None, suffix: str = ".csv") -> DataFrame:
-    """One row per file: name, bytes, lines, comma_lines, ragged_lines, ok, reason.
+    """One row per file: name, bytes, lines, comma_lines, ragged_lines, long_lines, ok, reason.
 
-    A ragged line has another number of commas than the header line of a plain file would allow;
-    counts are partial aggregates per file, so one huge file is still read by many tasks.
+    Every file has a row, empty ones too ('empty file'; a file of blank lines is 'no lines'). Commas inside quotes on one line
+    do not count. A ragged line has another number of commas than most lines of its file; a long one has more than the first line, so its last
+    values have no column: 'lines longer than the header'. Lines with an odd number of quotes belong to a text over several
+    lines and are neither. Counts are partial aggregates per file, so one huge file is still read by many tasks.
     """
-    text = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_size").alias("bytes"),
-    )
+    listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"))
+    # scans leave out empty files; the names of all files are with the driver anyway, as it plans the scan
+    names = C.small_frame(spark, "path string, bytes bigint", [(name, 0) for name in spark.read.text(path).inputFiles()])
+    one_form = F.regexp_replace("path", "^file:/+", "file:/")  # local files come in two
+    listed = listed.unionByName(names).withColumn("path", one_form).groupBy("path").agg(F.max("bytes").alias("bytes"))
+    start = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), start.alias("start")).withColumn("path", one_form)
     unquoted = F.regexp_replace(F.col("value"), '"[^"]*"', "")
     commas = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit("")))
+    groups = text.where("value <> ''").groupBy("path", commas.alias("commas"), F.contains(unquoted, F.lit('"')).alias("open"))
+    groups = groups.agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"))
+    # a row for each number of commas that a file's lines have
+    header = F.first_value("commas").over(Window.partitionBy("path").orderBy("start"))
     shapes = (
-        text.where("value <> ''")
-        .groupBy("path", "bytes", commas.alias("commas"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("path", "bytes")
+        groups.withColumn("header", header)
+        .groupBy("path")
         .agg(
             F.sum("n").alias("lines"),
-            F.coalesce(F.sum(F.when(F.col("commas") > 0, F.col("n"))), F.lit(0)).alias("comma_lines"),
-            F.max("n").alias("regular"),
+            F.sum(F.when(F.col("commas") > 0, F.col("n")).otherwise(0)).alias("comma_lines"),
+            (F.sum(F.when(~F.col("open"), F.col("n")).otherwise(0)) - F.coalesce(F.max(F.when(~F.col("open"), F.col("n"))), F.lit(0))).alias("ragged_lines"),
+            F.sum(F.when(~F.col("open") & (F.col("commas") > F.col("header")), F.col("n")).otherwise(0)).alias("long_lines"),
         )
     )
-    reason = F.when(~F.endswith(F.lower("path"), F.lit(suffix)), "wrong suffix").when(
-        F.col("comma_lines") == 0, "no comma in the file"
-    )
+    counts = ("lines", "comma_lines", "ragged_lines", "long_lines")
+    files = listed.join(shapes, "path", "left").fillna(0, counts)
+    reason = F.when(~F.endswith(F.lower("path"), F.lit(suffix)), "wrong suffix").when(F.col("bytes") == 0, "empty file")
+    reason = reason.when(F.col("lines") == 0, "no lines").when(F.col("comma_lines") == 0, "no comma in the file")
+    reason = reason.when(F.col("long_lines") > 0, "lines longer than the header")
     if max_bytes is not None:
         reason = reason.when(F.col("bytes") > max_bytes, "file too large")
-    return shapes.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        "bytes",
-        "lines",
-        "comma_lines",
-        (F.col("lines") - F.col("regular")).alias("ragged_lines"),
-        reason.isNull().alias("ok"),
-        reason.alias("reason"),
+    return files.select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", *counts, reason.isNull().alias("ok"), reason.alias("reason")
     )

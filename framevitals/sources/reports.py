@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from framevitals.functions import columns as C
+from framevitals.sources.scratch import checkpointed
 
 REPORT_SCHEMA = "section string, item string, metric string, num double, txt string"
+DAMAGED = "damaged"
 EMPTY_STATE = ("status", "dataset", "state", None, "processing")
 
 
@@ -25,19 +27,29 @@ def save_report(report: DataFrame, path: str, dataset_id: str) -> None:
 
 
 def load_report(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:
-    """The stored rows of one data set; a single 'processing' row when there are none."""
+    """The stored rows of one data set; a single 'processing' row when there are none.
+
+    Lines that are no report row (half written, not JSON, a value of another type) are left out; their number is one more row,
+    'damaged_lines' of the 'status' section.
+    """
     try:
         stored = (
-            spark.read.schema(REPORT_SCHEMA + ", dataset_id string")
+            spark.read.schema(f"{REPORT_SCHEMA}, dataset_id string, {DAMAGED} string")
+            .option("columnNameOfCorruptRecord", DAMAGED)
             .json(path)
             .where(F.col("dataset_id") == dataset_id)
-            .select("section", "item", "metric", "num", "txt")
         )
-        if not stored.isEmpty():
-            return stored
+        # kept, as the reader prunes columns and would then not look at whole lines; a report is small
+        stored = checkpointed(stored.select("section", "item", "metric", "num", "txt", DAMAGED))
     except AnalysisException:
-        pass
-    return C.small_frame(spark, REPORT_SCHEMA, [EMPTY_STATE])
+        return C.small_frame(spark, REPORT_SCHEMA, [EMPTY_STATE])
+    whole = F.col(DAMAGED).isNull() & F.col("metric").isNotNull()
+    counts = stored.agg(F.count_if(whole).alias("good"), F.count_if(~whole).alias("bad")).first()
+    rows = [] if counts["good"] else [EMPTY_STATE]
+    if counts["bad"]:
+        rows.append(("status", "dataset", "damaged_lines", float(counts["bad"]), None))
+    good = stored.where(whole).drop(DAMAGED)
+    return good.unionByName(C.small_frame(spark, REPORT_SCHEMA, rows)) if rows else good
 
 
 def as_document(report: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from framevitals.plans.report import as_rows, full_report
 from framevitals.sources import csv, reports
 from framevitals.sources.scratch import fresh_path
 from framevitals.streaming.profile import profile_stream
+from framevitals.streaming.sketches import read_sketches, sketch_stream
 from suite.fixtures import (
     EVENT_TYPES, EVENTS_IP, RANGES, fixture, named, pct, plain, query, stamp, table, union,
 )
@@ -188,6 +189,42 @@ def _(spark, sf_dir):
     return plain(csv.read_csv(spark, path, schema=df.schema, multiline=True))
 
 
+@query(
+    "report_corrupt",
+    f"""{SUMMARY_ROWS} union all select 'status', 'dataset', 'damaged_lines', count(*)::double, null::varchar from nation where n_nationkey % 2 = 0""",
+)
+def _(spark, sf_dir):
+    """Damaged lines beside a stored report are counted and left out."""
+    path = fresh_path(spark, "reports")
+    reports.save_report(as_rows(summary(dirty(spark, sf_dir), "o_totalprice"), "summary"), path, "orders")
+    broken = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").selectExpr("concat('{\"item\": \"', n_name) as value")
+    broken.write.mode("append").text(f"{path}/dataset_id=orders/section=summary")
+    return plain(reports.load_report(spark, path, "orders"), 4)
+
+
+@query(
+    "validate_source_bad",
+    """select 'long' as kind, 1 + count(*) as lines, count(*) filter (n_nationkey % 5 = 0) as ragged_lines,
+    count(*) filter (n_nationkey % 5 = 0) as long_lines, false as ok, 'lines longer than the header' as reason from nation
+    union all select 'short', 1 + count(*), count(*) filter (n_nationkey % 5 = 0), 0, true, null from nation
+    union all select 'empty', 0, 0, 0, false, 'empty file' """,
+)
+def _(spark, sf_dir):
+    """Files with lines longer or shorter than their header, and one without any."""
+    path, nation = fresh_path(spark, "bad-csv"), table(spark, sf_dir, "nation")
+    some = F.col("n_nationkey") % 5 == 0
+    bodies = {
+        "long": F.when(some, F.lit("1,\"a,b\",2")).otherwise(F.concat(F.col("n_nationkey").cast("string"), F.lit(",\"x, "), "n_name", F.lit("\""))),
+        "short": F.when(some, F.lit("1")).otherwise(F.concat(F.col("n_nationkey").cast("string"), F.lit(","), "n_name")),
+    }
+    for kind, line in bodies.items():
+        lines = nation.select(F.lit(1).alias("at"), line.alias("value")).union(spark.range(1).selectExpr("0", "'key,name'"))
+        lines.repartition(1).sortWithinPartitions("at").select("value").write.text(f"{path}/{kind}")
+    nation.coalesce(1).where("n_nationkey < 0").select("n_name").write.text(f"{path}/empty")
+    files = [csv.validate_source(spark, f"{path}/{kind}", suffix=".txt").withColumn("kind", F.lit(kind)) for kind in ("long", "short", "empty")]
+    return plain(files[0].unionByName(files[1]).unionByName(files[2]).select("kind", "lines", "ragged_lines", "long_lines", "ok", "reason"))
+
+
 @query(
     "validate_source",
     f"""select (select count(*) from ({DIRTY})) as data_lines, (select count(*) from ({DIRTY})) as comma_lines,
@@ -332,6 +369,33 @@ def _(spark, sf_dir):
     return plain(spark.read.parquet(profile_stream(stream)))
 
 
+@query(
+    "stream_sketches",
+    union(
+        [
+            f"select '{c}' as \"column\", count(*) as rows, count(*) - count({c}) as missing, "
+            f"{pct(f'(count(*) - count({c}))', 'count(*)')} as missing_pct, "
+            + (f"min({c})::double as low, max({c})::double as high" if c in ("event_id", "user_id", "value") else "null::double as low, null::double as high")
+            + ", true as distinct_near, true as median_near from events"
+            for c in EVENT_TYPES
+        ]
+    ),
+)
+def _(spark, sf_dir):
+    """Four micro-batches merged as sketches; counts and limits exact, distinct values and the median held against exact ones."""
+    events, source, path = table(spark, sf_dir, "events"), fresh_path(spark, "events"), fresh_path(spark, "sketches")
+    events.repartition(4, "event_id").write.parquet(source)
+    sketch_stream(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source), path)
+    found = read_sketches(spark, path)
+    exact = column_report(events).select("column", "n_unique")
+    middle = found.where("column = 'value'").first()["q50_about"]
+    ranks = events.agg(F.avg((F.col("value") < middle).cast("double")).alias("below"), F.avg((F.col("value") <= middle).cast("double")).alias("upto")).first()
+    near = F.abs(F.col("distinct_about") - F.col("n_unique")) <= 0.06 * F.col("n_unique")
+    median = F.lit(ranks["below"] <= 0.53 and ranks["upto"] >= 0.47)
+    joined = found.join(exact, "column")
+    return plain(joined.select("column", "rows", "missing", "missing_pct", "low", "high", near.alias("distinct_near"), median.alias("median_near")))
+
+
 # --- user extensions --------------------------------------------------------------------
 
 if "high_values" not in list_checks():

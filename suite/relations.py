@@ -70,6 +70,28 @@ def _(spark, sf_dir):
     return plain(correlation.corr_matrix(table(spark, sf_dir, "lineitem"), NUMBERS))
 
 
+ALL_NUMBERS = ["l_orderkey", *NUMBERS]
+
+
+@query(
+    "corr_matrix_gaps",
+    union(
+        [
+            f"select '{a}' as x, '{b}' as y, round({r_sql(a, b)}, 6) as r from (select " + ", ".join(
+                f"case when (l_orderkey + {i}) % {i + 2} = 0 then null else {c} end as {c}" for i, c in enumerate(ALL_NUMBERS)
+            ) + ", 0.1::double as fixed from lineitem)"
+            for a, b in combinations([*ALL_NUMBERS, "fixed"], 2)
+        ]
+    ),
+)
+def _(spark, sf_dir):
+    """All numeric columns and a constant, each with its own gaps, from one scan."""
+    df = table(spark, sf_dir, "lineitem").select(
+        *[F.when((F.col("l_orderkey") + i) % (i + 2) != 0, F.col(c)).alias(c) for i, c in enumerate(ALL_NUMBERS)], F.lit(0.1).alias("fixed")
+    )
+    return plain(correlation.corr_matrix(df))
+
+
 LEAK_NUMBERS = ["l_quantity", "l_extendedprice", "price_x2", "net", "charged", "const_num"]
 LEAK_PAIRS = f"with src as ({LEAK}), t as (" + union(
     [f"select '{a}' as x, '{b}' as y, {r_sql(a, b)} as r from src" for a, b in combinations(LEAK_NUMBERS, 2)]

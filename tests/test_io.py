@@ -29,6 +29,30 @@ def test_validate_source(spark, tmp_path):
     assert got["plain.csv"]["reason"] == "no comma in the file" and got["other.txt"]["reason"] == "wrong suffix"
 
 
+def test_every_file_is_judged(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "blank.csv").write_text("\n\n")
+    (tmp_path / "long.csv").write_text("a,b\n1,2\n1,2,3\n4,5\n")
+    (tmp_path / "quoted one.csv").write_text('a,b\n1,"x,y"\n2,"over, and\nover, two, lines"\n3,z\n')
+    got = {r["name"].replace("%20", " "): r for r in csv.validate_source(spark, str(tmp_path)).collect()}
+    assert got["empty.csv"]["reason"] == "empty file" and got["empty.csv"]["lines"] == 0
+    assert got["blank.csv"]["reason"] == "no lines"
+    assert got["long.csv"]["reason"] == "lines longer than the header" and got["long.csv"]["long_lines"] == 1
+    assert got["quoted one.csv"]["ok"] and got["quoted one.csv"]["long_lines"] == 0
+
+
+def test_damaged_report(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    reports.save_report(quick_report(spark.range(5).toDF("a")), path, "x")
+    (tmp_path / "reports" / "dataset_id=x" / "section=summary" / "half.json").write_text('{"item": "da\n[1, 2\n{"num": "many", "metric": "m"}\n')
+    (tmp_path / "reports" / "dataset_id=y" / "section=summary").mkdir(parents=True)
+    (tmp_path / "reports" / "dataset_id=y" / "section=summary" / "half.json").write_text("no json\n")
+    got = {r["metric"]: r for r in reports.load_report(spark, path, "x").collect()}
+    assert got["rows"]["num"] == 5.0 and got["damaged_lines"]["num"] == 3.0
+    rows = reports.load_report(spark, path, "y").collect()
+    assert {r["txt"] for r in rows} == {"processing", None} and {r["num"] for r in rows} == {None, 1.0}
+
+
 def test_export_and_preview(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         csv.export_clean(spark, str(tmp_path / "none"), str(tmp_path / "out"))

@@ -1,3 +1,4 @@
+import numpy as np
 import math
 
 import pytest
@@ -87,3 +88,26 @@ def test_task(spark):
 def test_label_conflicts(spark):
     df = spark.createDataFrame([("a", 1, 0), ("a", 1, 1), ("b", 2, 0), ("b", 2, 0)], "f string, g int, y int")
     assert [tuple(r) for r in labels.label_conflicts(df, "y").collect()] == [("a", 1, 2, 2)]
+
+
+def test_matrix_in_one_scan(spark):
+    """Gaps, constants, infinities and far values, over many batches, against numpy on the pairs that are there."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 5)) * [1, 1e-6, 1e9, 1, 1] + [0, 1e3, 1e12, 0, 0]
+    x[:, 3] = 2 * x[:, 0] + 0.1 * x[:, 3]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    rows = [(*[None if np.isnan(v) else float(v) for v in r], 0.1, None, float("inf") if i == 5 else 1.0 * i) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, fixed double, none double, far double").repartition(7)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r["x"], r["y"]): r["r"] for r in correlation.corr_matrix(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == 28
+    for i, j in ((i, j) for i in range(5) for j in range(i + 1, 5)):
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert got["abcde"[i], "abcde"[j]] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-7)
+    assert got["a", "fixed"] is None and got["a", "none"] is None and np.isnan(got["a", "far"])
+    assert correlation.corr_matrix(df.select("a")).count() == 0
+    assert {r["r"] for r in correlation.corr_matrix(df.where("a > 1e99").select("a", "b")).collect()} == {None}
