@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from llm.texts import LAST, Words, merged, packed, signed, slabs, sliding_min, unpack, written
 
 WINDOW = 50
+HOT_KEYS = 1000
 PLACE = np.uint64((1 << 28) - 1)
 TOP = np.uint64(2**64 - 1)
 RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string"
@@ -76,8 +77,26 @@ def anchors(docs: DataFrame, short: int, middle: int, window: int) -> DataFrame:
 
 def repeating(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` whose ``key`` is found in two texts or more; counts combine before the shuffle."""
-    found = rows.groupBy(key).agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select(key)
-    return rows.join(found, key, "left_semi")
+    found = rows.groupBy(key).agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
+    return spread_join(rows, written(found.select(key, "n"), "repeats"), [key], "left_semi")
+
+
+def spread_join(rows: DataFrame, repeats: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``rows`` joined with ``repeats`` (one row a key, its rows counted in ``n``), the rows of frequent keys dealt over several tasks.
+
+    A key with more than one in ``HOT_KEYS`` of the rows counted gets as many salts as it fills shares of a task. There are fewer than
+    ``HOT_KEYS`` such keys at any size, so their table is small enough for every executor; no row is left out.
+    """
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = F.lit(repeats.agg(F.sum("n")).first()[0] or 0)
+    hot, salts = F.col("n") * HOT_KEYS > total, F.ceil(F.col("n") * tasks / total).cast("int")
+    often = repeats.where(hot).select(*keys, salts.alias("salts"))
+    rest = [c for c in rows.columns if c not in keys]
+    salt = F.pmod(F.xxhash64(*rest), F.coalesce("salts", F.lit(1))).cast("int")
+    salted = rows.join(F.broadcast(often), keys, "left").withColumn("salt", salt).drop("salts")
+    every = F.when(hot, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
+    return salted.join(repeats.withColumn("salt", F.explode(every)).drop("n"), [*keys, "salt"], how).drop("salt")
 
 
 def candidates(docs: DataFrame, window: int) -> DataFrame:
@@ -130,8 +149,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     todo = classes.join(candidates(docs, window), "t")
     texts = packed(docs, key, dg).join(todo, ["rep", "dg"])
     found = windows(texts, window)
-    firsts = found.groupBy("h", "k").agg(F.min("rep").alias("first"), F.max("rep").alias("other")).where("first < other").drop("other")
-    later = found.join(firsts, ["h", "k"]).where("rep > first")
+    firsts = found.groupBy("h", "k").agg(F.min("rep").alias("first"), F.max("rep").alias("other"), F.count(F.lit(1)).alias("n"))
+    firsts = written(firsts.where("first < other").drop("other"), "firsts")
+    later = spread_join(found, firsts, ["h", "k"], "inner").where("rep > first")
     removed = later.groupBy("rep", "t").agg(F.collect_list("place").alias("places"))
     known = rows.join(classes.select("dg", F.col("rep").alias("least")), "dg").join(removed, ["rep", "t"], "left")
     verdict = known.select("rep", "dg", (F.col("rep") > F.col("least")).alias("copy"), "places")
