@@ -1,6 +1,6 @@
 """Toxicity scores: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the distinct byte n-grams (3 to 5, ASCII lower-cased) of a whole text, hashed to ``BUCKETS``.
+Features are the distinct n-grams of 3 to 5 characters (code points, lower-cased in any script) of a whole text, hashed to ``BUCKETS``.
 On a bounded sample of labelled texts each feature gets the log ratio of its share among toxic and other
 texts; logistic regression is fitted over features scaled so, on the features that tell the classes apart best.
 The intercept then moves from the sample's balance to the shares of all labelled rows.
@@ -29,8 +29,8 @@ LEAST_TEXTS = 4
 ROUNDS = 150
 THRESHOLD = 0.7
 
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += 32
+#: Multipliers of the rolling and of the final hash, and code points looked at together.
+STEP, MIX, SLICE = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 1 << 20
 
 
 class Grams:
@@ -39,22 +39,24 @@ class Grams:
     def __init__(self):
         self.seen = np.zeros(BUCKETS, bool)
 
-    def of(self, raw: bytes) -> np.ndarray:
-        codes = _LOWER[np.frombuffer(raw, np.uint8)]
-        gram = codes
-        for n in range(2, 6):
-            if len(codes) < n:
-                break
-            gram = (gram[:-1] << np.uint64(8)) | codes[n - 1 :]
-            if n > 2:
-                h = (gram + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)
-                self.seen[h >> np.uint64(46)] = True
+    def of(self, text: str) -> np.ndarray:
+        text = text.lower()
+        for start in range(0, len(text), SLICE):
+            part = text[start : start + SLICE + 4]  # no gram is cut
+            codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            gram = codes
+            for n in range(2, 6):
+                if len(codes) < n:
+                    break
+                gram = gram[:-1] * STEP + codes[n - 1 :]
+                if n > 2:
+                    self.seen[((gram + np.uint64(n << 56)) * MIX) >> np.uint64(46)] = True
         found = np.flatnonzero(self.seen)
         self.seen[found] = False
         return found
 
 
-def fit(sample: list[tuple[int, bytes]], toxic: int, other: int) -> tuple[np.ndarray, float]:
+def fit(sample: list[tuple[int, str]], toxic: int, other: int) -> tuple[np.ndarray, float]:
     """Weight of each bucket and the intercept; ``toxic`` and ``other`` count all labelled rows."""
     prior = math.log((toxic + 1) / (other + 1))
     weights = np.zeros(BUCKETS, np.float32)
@@ -62,7 +64,7 @@ def fit(sample: list[tuple[int, bytes]], toxic: int, other: int) -> tuple[np.nda
     if not 0 < y.sum() < len(y):
         return weights, prior
     grams = Grams()
-    rows = [grams.of(raw) for _, raw in sample]
+    rows = [grams.of(text) for _, text in sample]
     column, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     inside = np.bincount(column, y[row], BUCKETS)
     total = np.bincount(column, minlength=BUCKETS)
@@ -92,7 +94,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Fit on the sample of all rows that are not held out."""
     known = labels.where(learns(F.col("doc_id"), 3, 1)).select("doc_id", F.col("toxic").cast("int").alias("label")).where("label in (0, 1)")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    sample = [(label, text.encode()) for label, _, text in labelled_sample(docs, known, SAMPLE_TEXTS, SAMPLE_CHARS, cut=False)]
+    sample = [(label, text) for label, _, text in labelled_sample(docs, known, SAMPLE_TEXTS, SAMPLE_CHARS, cut=False)]
     return fit(sample, counts.get(1, 0), counts.get(0, 0))
 
 
@@ -105,9 +107,8 @@ def score_texts(docs: DataFrame, weights: np.ndarray, intercept: float, keep: tu
         grams = Grams()
         for batch in batches:
             scores = []
-            for value in batch.column("__text").cast(pa.large_binary()):
-                raw = value.as_buffer()
-                margin = intercept + float(weights[grams.of(raw.to_pybytes() if raw is not None else b"")].sum(dtype=np.float64))
+            for value in batch.column("__text"):
+                margin = intercept + float(weights[grams.of(value.as_py() or "")].sum(dtype=np.float64))
                 scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, margin)))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
