@@ -4,15 +4,16 @@ For each language a suffix automaton of labelled text gives longest matches: par
 takes the longest match from each place, then starts a new phrase. The language with the fewest
 phrases, each weighed by the log of its sample's length, explains the text best. Automata are dense
 tables, and a task parses all blocks of its texts in step, one table lookup per symbol and language.
-Texts are cut into blocks of ``BLOCK`` symbols for that; a phrase ends with its block, in all languages alike.
+Texts are cut into blocks of ``BLOCK`` symbols for that; phrases go on over the borders, as in a parse of the whole text.
 
-Symbols are lower-case letters; anything between them is one space. A NULL text, or one without a letter,
+Symbols are lower-case letters (rare ones of large alphabets are two symbols); anything between them is one space. A NULL text, or one without a letter,
 is ``und`` with score 0; so is every text where no language can be learned. Ties go to the first language by name. Rows that repeat are each predicted.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -26,24 +27,44 @@ from llm.texts import SLAB, frugal, learns
 #: Bounds of the labelled sample: texts a language, characters of a text, symbols of a language's automaton.
 SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 80, 800, 24_576
 BLOCK = 512
+#: Different letters up to which each has a symbol of its own, and how many have one beyond that.
+SINGLES, COMMON = 252, 100
 UNKNOWN = "und"
 SPACE, BREAK, OTHER, FIRST = 0, 1, 2, 3
 
 
 def letter_classes(samples: dict[str, str]) -> np.ndarray:
-    """Symbol of each code point: 0 between words, own symbols for letters of the samples, one for all other letters."""
-    table = np.fromiter((OTHER * chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)
-    seen = sorted({ord(c) for text in samples.values() for c in text.lower() if c.isalpha()})[: 255 - FIRST]
-    table[seen] = np.arange(FIRST, FIRST + len(seen), dtype=np.uint8)
+    """One or two symbols of each code point (the second 0 where there is one): 0 between words, one symbol for all letters in no sample.
+
+    Up to ``SINGLES`` different letters in the samples have a symbol each. Of more, the ``COMMON`` most frequent have, and each other one
+    has a pair of its own, so that scripts with thousands of letters are told apart with a few hundred symbols.
+    """
+    table = np.zeros((0x110000, 2), np.uint16)
+    table[:, 0] = np.fromiter((OTHER * chr(i).isalpha() for i in range(0x110000)), np.uint16, 0x110000)
+    counts = Counter(ord(c) for text in samples.values() for c in text.lower() if c.isalpha())
+    letters = sorted(counts)
+    if len(letters) > SINGLES:
+        letters = sorted(letters, key=lambda c: (-counts[c], c))
+        pairs = np.array(letters[COMMON:])
+        side = math.isqrt(len(pairs) - 1) + 1
+        place = np.arange(len(pairs))
+        table[pairs, 0] = FIRST + COMMON + place // side
+        table[pairs, 1] = FIRST + COMMON + side + place % side
+        letters = letters[:COMMON]
+    table[letters, 0] = np.arange(FIRST, FIRST + len(letters))
     return table
 
 
 def symbols(text: str, table: np.ndarray) -> np.ndarray:
     codes = table[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
-    keep = codes != SPACE
+    keep = codes[:, 0] != SPACE
     if len(keep):
-        keep[1:] |= codes[:-1] != SPACE
-    return codes[keep]
+        keep[1:] |= codes[:-1, 0] != SPACE
+    codes = codes[keep]
+    second = codes[:, 1] != 0
+    if not second.any():
+        return codes[:, 0]
+    return codes.ravel()[np.column_stack((np.ones(len(codes), bool), second)).ravel()]
 
 
 def automaton(sequence: list[int]) -> list[dict[int, int]]:
@@ -103,8 +124,14 @@ class Model:
         self.width, self.roots = width, np.array(roots, np.int32)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text in each language."""
+        """Phrases of each whole text in each language.
+
+        Blocks of all texts are parsed side by side, each as if a phrase began with it. Then every block that goes on a text is parsed
+        again from the state that the block before it ended in, until both parses are in one state, mostly after a phrase or two;
+        if they never are, the next block is taken up in turn.
+        """
         blocks = [t[i : i + BLOCK] for t in texts for i in range(0, max(1, len(t)), BLOCK)]
+        goes_on = np.array([i > 0 for t in texts for i in range(0, max(1, len(t)), BLOCK)])
         sizes = np.array([len(b) for b in blocks])
         order = np.argsort(-sizes, kind="stable")
         grid = np.zeros((BLOCK, len(blocks)), np.int32)
@@ -121,11 +148,31 @@ class Model:
             entry = self.table[state[:, :live] * self.width + grid[step, :live]]
             count[:, :live] += entry & 1
             state[:, :live] = entry >> 1
-        count += (sizes[order] > 0).astype(np.int32)
-        back = np.empty_like(count)
-        back[:, order] = count
-        firsts = np.cumsum([0, *(max(1, -(-len(t) // BLOCK)) for t in texts)])[:-1]
-        return np.add.reduceat(back, firsts, axis=1).T
+        back, end = np.empty_like(count), np.empty_like(state)
+        back[:, order], end[:, order] = count, state
+        column = np.empty(len(blocks), np.int64)
+        column[order] = np.arange(len(blocks))
+        block = np.flatnonzero(goes_on)
+        language = np.repeat(np.arange(n), len(block))
+        block = np.tile(block, n)
+        was, now = self.roots[language], end[language, block - 1]
+        while len(block):
+            ended = []
+            for step in range(BLOCK + 1):
+                apart, over = was != now, sizes[block] <= step
+                ended.append([x[apart & over] for x in (language, block, was, now)])
+                language, block, was, now = (x[apart & ~over] for x in (language, block, was, now))
+                if not len(block):
+                    break
+                codes = grid[step, column[block]]
+                old, new = self.table[was * self.width + codes], self.table[now * self.width + codes]
+                back[language, block] += (new & 1) - (old & 1)  # a block is there once for each language
+                was, now = old >> 1, new >> 1
+            language, block, was, now = (np.concatenate(x) for x in zip(*ended))
+            more = np.append(goes_on, False)[block + 1]
+            language, block, was, now = language[more], block[more] + 1, was[more], now[more]
+        firsts = np.flatnonzero(~goes_on)
+        return np.add.reduceat(back, firsts, axis=1).T + (sizes[firsts] > 0)[:, None]
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         coded = [symbols(t, self.classes) for t in texts]
