@@ -1,7 +1,8 @@
 """WARC archives without repeated payloads: write, read back, resolve revisits.
 
-Headers alone are shuffled by payload digest: the smallest id of each digest becomes a ``response``,
-every other record with that digest a ``revisit`` that refers to it. The archive is written by Spark's
+Headers alone are grouped by payload digest: the smallest id of each digest becomes a ``response``,
+every other record with that digest a ``revisit`` that refers to it. Joining these verdicts back moves each
+payload once. The archive is written by Spark's
 own text writer (payloads are UTF-8, so a record is text), whose commit protocol leaves no halves of lost
 or repeated tasks, in any store Spark reaches. Files are gzipped. Reading takes each as bytes and cuts it by
 Content-Length, so nothing in a payload can be mistaken for a record.
