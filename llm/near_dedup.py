@@ -158,7 +158,7 @@ def forest_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         held, edge, regions, known = [], [], Regions(), set()
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("tree", "seq", "node"))))
-            edge = edge or rows[:SPAN]
+            edge += rows[: SPAN - len(edge)]
             yield from as_batches(neighbours(held + rows))
             new = regions.crowded(rows) - known
             known |= new
