@@ -8,8 +8,8 @@ strings; the run's bytes are its fragment.
 1. Anchors whose next ``lead`` bytes (a part of every string of the run) occur once drop out.
 2. Fragments that are equal byte for byte are counted before anything is sorted: they repeat as a whole, and one of
    them stands for all. So copies and near copies, however many, send one suffix.
-3. Spark samples splitters and deals the suffixes by ranges of their leads, the same bytes as in 1. Suffixes with
-   equal leads stay in one bucket, so two buckets never share a string: comparing across a
+3. Spark samples splitters and deals the suffixes by ranges of the leading bytes of their leads, then of the digests of the
+   whole leads. Suffixes with equal leads stay in one bucket, so two buckets never share a string: comparing across a
    boundary could only show what the splitters guarantee. Leads with more than ``HOT`` different fragments are split over all
    tasks instead and compared across them by digests of their strings.
 4. A bucket sorts its suffixes by multikey quicksort (8 bytes a key). At each depth where classes of equal
@@ -34,6 +34,7 @@ LENGTH = 400
 GRAM = 8
 HOT = 20_000
 BUCKET = 50_000
+KEY = 16
 PLACE = np.uint64((1 << 28) - 1)
 TOP = np.uint64(2**64 - 1)
 SMALL = 32
@@ -184,9 +185,13 @@ def matches(parts: list[bytes], low: np.ndarray, high: np.ndarray, length: int)
 
 
 def dealt(groups: DataFrame, length: int, n: int) -> DataFrame:
-    """``groups`` by ranges of the whole lead: a bucket cannot be split below one lead, and ``HOT`` bounds the fragments of a lead."""
+    """``groups`` by ranges of (the first ``KEY`` bytes of the lead, the whole lead's digest): equal leads have equal keys.
+
+    A bucket cannot be split below one lead, and ``HOT`` bounds the fragments of a lead. Short keys keep the sample of
+    splitters small in the driver.
+    """
     lead = F.substring("z", F.col("high") + 1, F.lit(length - spread_of(length) + 1))
-    return groups.repartitionByRange(n, lead)
+    return groups.repartitionByRange(n, F.substring(lead, 1, KEY), F.xxhash64(lead))
 
 
 def bucket_matches(groups: DataFrame, length: int, n: int) -> DataFrame:
