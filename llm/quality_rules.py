@@ -142,7 +142,7 @@ def certified_cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ER
     whole = Window.partitionBy("stratum", "rule")
     above = whole.orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("long")
-    share = F.coalesce(F.sum("p").over(above), none) / F.sum("p").over(whole)
+    share = F.try_divide(F.coalesce(F.sum("p").over(above), none), F.sum("p").over(whole))
     step = F.when(share > 0, F.least(F.floor(-2 * F.log2(share)), F.lit(grid - 1))).otherwise(F.lit(grid - 1))
     values = counts.select(
         "stratum", "rule", "value", step.alias("step"),
