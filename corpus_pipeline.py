@@ -15,6 +15,7 @@ from llm.decontamination import contamination
 from llm.language_id import UNKNOWN, learn, predict_languages
 from llm.near_dedup import near_duplicates
 from llm.shipping import shipped
+from llm.substring_dedup import WINDOW
 from llm.suffix_dedup import remove_repeated_bytes
 from llm.texts import BLANKS, documents, written
 
@@ -43,20 +44,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @shipped
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated byte strings out of the texts; what is left of a cut character goes too. Emptied documents go."""
-    cut = remove_repeated_bytes(docs, keep_text=True).where("n_removed > 0").dropDuplicates(["doc_id", "dg"])
-    cut = cut.select(F.col("doc_id").alias("cut_id"), F.col("dg").alias("cut_digest"), "kept")
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.md5("text").alias("digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("digest") == F.col("cut_digest"))
-    left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    joined = rows.join(cut, same, "left").withColumn("left", F.when(F.col("cut_digest").isNotNull(), left))
-    joined = joined.where(F.col("left").isNull() | (F.btrim("left", F.lit(BLANKS)) != ""))
-    columns = {c: F.col("row")[c] for c in docs.columns}
-    columns["text"] = F.coalesce("left", columns["text"])
+    """Cut out of the texts byte strings that repeat (op3's), and word sequences that a smaller doc_id has too (op7's).
+
+    A passage of 50 words is often shorter than 400 bytes. What is left of a cut character goes too, as do emptied documents.
+    """
+    others = F.struct(*(c for c in docs.columns if c != "text")).alias("others")
+    rows = docs.select("doc_id", "text", others, F.col("text").isNull().alias("none"))
+    done = remove_repeated_bytes(rows, keep=("others", "none"), words=WINDOW)
+    cut, whole = F.col("n_removed") > 0, F.col("kept").cast("string")
+    left = F.regexp_replace(F.make_valid_utf8(whole), "�", "")
+    columns = {c: F.col("others")[c] if c != "text" else F.when(cut, left).when(~F.col("none"), whole) for c in docs.columns}
     if "n_chars" in columns:
-        size = F.length("left").cast(docs.schema["n_chars"].dataType)
-        columns["n_chars"] = F.when(F.col("left").isNull(), columns["n_chars"]).otherwise(size)
-    return joined.select(*(column.alias(c) for c, column in columns.items()))
+        size = F.length(left).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(cut, size).otherwise(columns["n_chars"])
+    stays = done.where(~cut | (F.btrim(left, F.lit(BLANKS)) != ""))
+    return stays.select(*(column.alias(c) for c, column in columns.items()))
 
 
 @shipped
